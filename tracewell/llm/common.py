@@ -95,3 +95,38 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
 
 def empty_like(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
+
+
+def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False) -> DataFrame:
+    """df with further columns that work() gives for a batch of texts: lists in the order of `fields`, a DDL string.
+
+    work runs in Arrow batches on the executors, over whole texts (None for null; raw: as UTF-8 bytes); columns of df with the new names are
+    replaced. A batch is as large as spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch let it be.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    new = T.StructType.fromDDL(fields)
+    df = df.drop(*new.names)
+    types = [to_arrow_type(f.dataType) for f in new]
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(column))
+            given = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
+            arrays = [pa.array(x, type=t) for x, t in zip(given, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *new.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+
+
+def spans_digest(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: (s["kind"] == kind) & s["base"])).cast("long")
+
+
+SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,value:string>>"

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, flac, langid, mixing, neardup, pii, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": pii.op1_pii,
+        "op2_langid": langid.op2_langid,
+        "op3_secrets": secrets.op3_secrets,
         "op4_mixing": mixing.op4_mixing,
         "op5_sharding": sharding.op5_sharding,
+        "op7_minhash": neardup.op7_minhash,
+        "op9_flac": flac.op9_flac,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
