@@ -73,7 +73,7 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text), F.lit("null"))
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", rows_a_bucket: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", rows_a_bucket: int = 20_000) -> DataFrame:
     """Adds the 0-based rank of each row in its group, ordered by a hash and then by `order`, without one task for a group.
 
     Rows go to buckets by the leading bits of the hash (`order[0]`, a long that is spread evenly); the counts of the
@@ -81,7 +81,7 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     df must give the same rows each time it is computed (read it from stored()).
     """
     total = df.count()
-    n = min(4096, max(8, total // rows_a_bucket))
+    n = min(4096, max(256, total // rows_a_bucket))
     keyed = df.withColumn("_h", order[0].cast("long")).withColumn("_b", F.floor((F.shiftright("_h", 1) / F.lit(2.0**62) + 1) / 2 * n).cast("int"))
     keys = [F.col(c) for c in group]
     sums = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
