@@ -48,7 +48,7 @@ def with_prefix(cut: DataFrame, docs: DataFrame) -> DataFrame:
     seen = docs.select(F.explode(pieces(F.col("text"))).alias("word"))
     small = each.count() <= BROADCAST_WINDOWS
     counted = seen.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi").groupBy("word").count()
-    rare = placed.join(counted, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "place"))).alias("by_rarity"))
+    rare = placed.join(F.broadcast(counted) if small else counted, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "place"))).alias("by_rarity"))
     first, second = F.element_at("by_rarity", 1), F.element_at("by_rarity", F.least(F.lit(2), F.size("by_rarity")))
     rare = rare.where(first["n"] > 0)  # a window of which a word is in no document occurs in none
     rare = rare.select("id", first["word"].alias("prefix"), first["place"].alias("place"), second["word"].alias("second"), second["place"].alias("second_place"))
