@@ -1,10 +1,12 @@
 """Near-duplicate groups by b-bit MinHash.
 
-Documents with one set of shingles are a class from the start. Bands of minima name buckets; in each bucket all members
-meet some members chosen by hash, in rounds that double how many are chosen, as long as members lie in more than one
-component; a chosen member has met all others and leaves the bucket. So every pair of a bucket is tried or known to be
-in one component, while a bucket of copies ends after its first round. Pairs are first judged by packed low bits of the
-minima, with a margin, then by their whole sets.
+Documents with one set of shingles are a class from the start. Bands of minima name buckets. In a bucket, all members
+meet some chosen members, in rounds that double how many are chosen, as long as members lie in more than one component;
+a chosen member has met all others and leaves. A large bucket chooses one member that has many bucket mates, the hub,
+and is then divided: two members, of which one isn't linked with the hub, can be linked only if they share elements
+outside the hub, by which they meet again in smaller buckets. So every pair of a bucket is tried, known to be in one
+component or ruled out, and no bucket emits all its pairs. Pairs are first judged by packed low bits of the minima, with
+a margin, then by their whole sets.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import appended, dropped, stored, table
 
@@ -24,6 +27,8 @@ BANDS, ROWS = 26, 5
 KEPT, BITS, MARGIN = 128, 4, 0.22
 SEED = 20_240_229
 WORD_CACHE = 1 << 19
+#: Members of a bucket from which it is divided around a hub.
+LARGE = 32
 
 _rng = np.random.default_rng(SEED)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,6 +144,43 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
+def compared(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) with both sets, their sizes, the size of their intersection and whether they are linked."""
+    one, two = full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
+    sized = pairs.join(one, "a").join(two, "b").withColumns({"n_a": F.size("s_a"), "n_b": F.size("s_b"), "inter": F.size(F.array_intersect("s_a", "s_b"))})
+    return sized.withColumn("linked", 100 * F.col("inter") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("inter")))
+
+
+def divided(hubs: DataFrame, similarity: int) -> DataFrame:
+    """Smaller buckets (key, node) in place of large ones, of which every member a has met the hub b.
+
+    With share = similarity / (100 + similarity), sets i and j are linked if |i & j| >= share * (|i| + |j|). Let i be not
+    linked with the hub. What i and j share inside the hub is at most |i & hub|, so that at least
+    need = share * (|i| + |j|) - |i & hub| more elements are common to both and outside the hub. For |j| >= |hub| that is
+    above 0, as i is not linked with the hub. So j has one of the rarest |i - hub| - need + 1 elements of i outside the
+    hub, need being taken for the smallest j there can be and as 1 at least; each such element is a new bucket. For
+    smaller j, need may be 0 or less: those with |j| <= |i & hub| / share - |i| are a further bucket, with all i that
+    allow one.
+    """
+    share = similarity / (100 + similarity)
+    most = F.when(~F.col("linked"), F.floor(F.col("inter") / share - F.col("n_a") + 1e-9))
+    bounds = hubs.withColumn("most", most).groupBy("b").agg(F.least(F.min("n_a"), F.min("n_b")).alias("least"), F.max("most").alias("most_of_all"))
+    hubs = stored(hubs.withColumn("most", most).join(bounds, "b"))
+    need = F.ceil(share * (F.col("n_a") + F.greatest(F.col("least"), F.ceil(F.col("n_a") * similarity / 100))) - F.col("inter") - 1e-9)
+    deep = F.when(F.col("linked"), 0).otherwise(F.size("extra") - F.greatest(need, F.lit(1)) + 1)
+    each = hubs.select("a", "b", deep.alias("deep"), F.size("extra").alias("own"), F.explode("extra").alias("x"))
+    often = each.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = each.join(often, ["b", "x"])
+    inside = Window.partitionBy("a", "b")
+    place = F.col("own") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("n", "x"))
+    marked = stored(shared.select("a", F.xxhash64("b", "x").alias("key"), (place <= F.col("deep")).alias("asks")))
+    asked = marked.groupBy("key").agg(F.max("asks").alias("asks")).where("asks").select("key")
+    outside = marked.join(asked, "key").select("key", F.col("a").alias("node"))
+    inner = hubs.where((F.col("least") <= F.col("most_of_all")) & (F.col("least") < F.col("n_b")))
+    inner = inner.where((F.col("most") >= F.col("least")) | ((F.col("n_a") <= F.col("most_of_all")) & (F.col("n_a") < F.col("n_b"))))
+    return outside.union(inner.select(F.xxhash64("b", F.lit("smaller")).alias("key"), F.col("a").alias("node"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text).
 
@@ -159,37 +201,48 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     few = sigs.count() <= 4_000_000  # ids of 8 bytes are broadcast up to this number
     full = stored(sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")))
     sig = sigs.select("node", "n_shingles", "low")
+    weights = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    weights = stored(weights)
     links = tried = comp = None
     chosen = 1
     while not live.isEmpty():
-        slot = F.pmod(F.xxhash64("node", F.lit(chosen)), F.lit(chosen))
-        reps = stored(live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", "key").alias("o"), "node")).alias("r")).select("key", F.col("r.node").alias("rep")))
-        met = live.join(reps.select(F.col("key").alias("rk"), "rep"), F.col("key") == F.col("rk")).where(F.col("node") != F.col("rep"))
+        sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        sized = stored(live.join(weights, "node").join(sizes, "key").select("key", "node", "weight", (F.col("size") > LARGE).alias("large")))
+        slot = F.when(F.col("large"), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(chosen)), F.lit(chosen)))
+        best = F.max(F.struct("weight", F.xxhash64("node", "key").alias("o"), "node")).alias("r")
+        reps = stored(sized.groupBy("key", "large", slot.alias("slot")).agg(best).select("key", "large", F.col("r.node").alias("rep")))
+        met = sized.join(reps.select(F.col("key").alias("rk"), "rep"), F.col("key") == F.col("rk")).where(F.col("node") != F.col("rep"))
+        small = met.where(~F.col("large"))
         if comp is not None:
             a, b = comp.select(F.col("node").alias("na"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("nb"), F.col("comp").alias("cb"))
-            met = met.join(a, F.col("node") == F.col("na"), "left").join(b, F.col("rep") == F.col("nb"), "left").where(F.coalesce("ca", "node") != F.coalesce("cb", "rep"))
-        pairs = met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+            small = small.join(a, F.col("node") == F.col("na"), "left").join(b, F.col("rep") == F.col("nb"), "left").where(F.coalesce("ca", "node") != F.coalesce("cb", "rep"))
+        pairs = small.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         one, two = sig.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("low").alias("low_a")), sig.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("low").alias("low_b"))
         likely = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).where(estimate(F.col("low_a"), F.col("low_b")) >= similarity / 100 - MARGIN)
         likely = stored(likely.select("a", "b"))
-        first_sets, second_sets = full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
-        judged = likely.join(first_sets, "a").join(second_sets, "b")
-        inter = F.size(F.array_intersect("s_a", "s_b"))
-        judged = stored(judged.select("a", "b", (100 * inter >= similarity * (F.size("s_a") + F.size("s_b") - inter)).alias("linked")))
+        judged = stored(compared(likely, full, similarity).select("a", "b", "linked"))
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         new = judged.where("linked").select("a", "b")
+        around = met.where("large").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
+        parts = None
+        if not reps.where("large").isEmpty():
+            hubs = stored(compared(around, full, similarity).select("a", "b", "n_a", "n_b", "inter", "linked", F.array_except("s_a", "s_b").alias("extra")))
+            new = new.union(hubs.where("linked").select("a", "b"))
+            parts = divided(hubs, similarity)
+        new = stored(new)
         links = new if links is None else links.union(new)
         if comp is None or not new.isEmpty():
             comp = components(links)
-        rest = live.join(reps, (live["key"] == reps["key"]) & (live["node"] == reps["rep"]), "left_anti")
+        gone = reps.where(~F.col("large"))
+        rest = sized.where(~F.col("large")).join(gone, (sized["key"] == gone["key"]) & (sized["node"] == gone["rep"]), "left_anti").select("key", "node")
+        rest = rest if parts is None else rest.union(parts)
         named = rest.join(comp.select(F.col("node").alias("na"), "comp"), F.col("node") == F.col("na"), "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
         split = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m")).where("l < m").select("key")
         before, live = live, stored(named.join(split, "key").select("key", "node"))
-        dropped(before)
-        dropped(reps)
-        dropped(likely)
+        for old in (before, sized, reps, likely):
+            dropped(old)
         chosen *= 2
     named = classes if comp is None else classes.join(comp, "node", "left")
     group = classes.select("node", "first", "size").withColumn("c", F.col("node")) if comp is None else named.select("node", "first", "size", F.coalesce("comp", "node").alias("c"))
