@@ -2,8 +2,8 @@
 
 Documents with one set of shingles are a class from the start. Bands of minima name buckets. In a bucket, all members
 meet some chosen members, in rounds that double how many are chosen, as long as members lie in more than one component;
-a chosen member has met all others and leaves. A large bucket chooses one member that has many bucket mates, the hub,
-and is then divided: two members, of which one isn't linked with the hub, can be linked only if they share elements
+a chosen member has met all others and leaves. Large buckets that have members in common choose one member that has many
+bucket mates, the hub, and are divided, if they have many members: two members, of which one isn't linked with the hub, can be linked only if they share elements
 outside the hub, by which they meet again in smaller buckets. So every pair of a bucket is tried, known to be in one
 component or ruled out, and no bucket emits all its pairs. Pairs are first judged by packed low bits of the minima, with
 a margin, then by their whole sets.
@@ -27,8 +27,9 @@ BANDS, ROWS = 26, 5
 KEPT, BITS, MARGIN = 128, 4, 0.22
 SEED = 20_240_229
 WORD_CACHE = 1 << 19
-#: Members of a bucket from which it is divided around a hub.
-LARGE = 32
+#: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
+#: divided around a hub beyond.
+LARGE, FAMILY = 32, 1024
 
 _rng = np.random.default_rng(SEED)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,7 +153,7 @@ def compared(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
 
 
 def divided(hubs: DataFrame, similarity: int) -> DataFrame:
-    """Smaller buckets (key, node) in place of large ones, of which every member a has met the hub b.
+    """Smaller buckets (key, node) in place of large ones, of which every member a has met its hub b.
 
     With share = similarity / (100 + similarity), sets i and j are linked if |i & j| >= share * (|i| + |j|). Let i be not
     linked with the hub. What i and j share inside the hub is at most |i & hub|, so that at least
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     firsts = linkable.join(classes, (linkable["node"] == classes["node"]) & (linkable["doc_id"] == classes["first"])).select(linkable["node"], "first", "n_shingles", "bands", "low")
     each = firsts.select("node", F.explode("bands").alias("key"))
     shared = each.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l < m").select("key")
-    live = stored(each.join(shared, "key").distinct())
+    live = stored(each.join(shared, "key").distinct().withColumn("whole", F.lit(False)))
     wanted = live.select("node").distinct()
     sigs = stored(firsts.join(wanted, "node").select("node", "first", "n_shingles", "low").dropDuplicates(["node"]))
     ids = sigs.select(F.col("first").alias("doc_id")).distinct()
@@ -207,12 +208,11 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     chosen = 1
     while not live.isEmpty():
         sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        sized = stored(live.join(weights, "node").join(sizes, "key").select("key", "node", "weight", (F.col("size") > LARGE).alias("large")))
-        slot = F.when(F.col("large"), 0).otherwise(F.pmod(F.xxhash64("node", F.lit(chosen)), F.lit(chosen)))
-        best = F.max(F.struct("weight", F.xxhash64("node", "key").alias("o"), "node")).alias("r")
-        reps = stored(sized.groupBy("key", "large", slot.alias("slot")).agg(best).select("key", "large", F.col("r.node").alias("rep")))
-        met = sized.join(reps.select(F.col("key").alias("rk"), "rep"), F.col("key") == F.col("rk")).where(F.col("node") != F.col("rep"))
-        small = met.where(~F.col("large"))
+        sized = stored(live.join(weights, "node").join(sizes, "key").select("key", "node", "weight", "size", "whole", ((F.col("size") > LARGE) & ~F.col("whole")).alias("large")))
+        slot = F.pmod(F.xxhash64("node", F.lit(chosen)), F.lit(chosen))
+        best = F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("r")
+        reps = stored(sized.where(~F.col("large")).groupBy("key", slot.alias("slot")).agg(best).select("key", F.col("r.node").alias("rep")))
+        small = sized.join(reps.select(F.col("key").alias("rk"), "rep"), F.col("key") == F.col("rk")).where(F.col("node") != F.col("rep"))
         if comp is not None:
             a, b = comp.select(F.col("node").alias("na"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("nb"), F.col("comp").alias("cb"))
             small = small.join(a, F.col("node") == F.col("na"), "left").join(b, F.col("rep") == F.col("nb"), "left").where(F.coalesce("ca", "node") != F.coalesce("cb", "rep"))
@@ -225,22 +225,30 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         judged = stored(compared(likely, full, similarity).select("a", "b", "linked"))
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         new = judged.where("linked").select("a", "b")
-        around = met.where("large").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
         parts = None
-        if not reps.where("large").isEmpty():
+        large = sized.where("large").select(F.col("node").alias("a"), F.unhex(F.hex("key")).alias("b"))
+        if not large.isEmpty():
+            # large buckets with members in common are one family with one hub
+            mates = sized.where("large").groupBy("node").agg(F.sum("size").alias("weight"))
+            family = components(large).join(mates, "node").select("node", "comp", "weight")
+            wide = F.count(F.lit(1)) > FAMILY
+            family = stored(family.join(family.groupBy("comp").agg(wide.alias("wide")), "comp"))
+            one_bucket = family.where(~F.col("wide")).select(F.xxhash64("comp").alias("key"), "node", F.lit(True).alias("whole"))
+            family = family.where("wide")
+            hub = family.groupBy("comp").agg(best).select(F.col("comp").alias("c"), F.col("r.node").alias("b"))
+            around = stored(family.join(hub, F.col("comp") == F.col("c")).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b"))
             hubs = stored(compared(around, full, similarity).select("a", "b", "n_a", "n_b", "inter", "linked", F.array_except("s_a", "s_b").alias("extra")))
             new = new.union(hubs.where("linked").select("a", "b"))
-            parts = divided(hubs, similarity)
+            parts = one_bucket.union(divided(hubs, similarity).withColumn("whole", F.lit(False)))
         new = stored(new)
         links = new if links is None else links.union(new)
         if comp is None or not new.isEmpty():
             comp = components(links)
-        gone = reps.where(~F.col("large"))
-        rest = sized.where(~F.col("large")).join(gone, (sized["key"] == gone["key"]) & (sized["node"] == gone["rep"]), "left_anti").select("key", "node")
+        rest = sized.where(~F.col("large")).join(reps, (sized["key"] == reps["key"]) & (sized["node"] == reps["rep"]), "left_anti").select("key", "node", "whole")
         rest = rest if parts is None else rest.union(parts)
-        named = rest.join(comp.select(F.col("node").alias("na"), "comp"), F.col("node") == F.col("na"), "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
+        named = rest.join(comp.select(F.col("node").alias("na"), "comp"), F.col("node") == F.col("na"), "left").select("key", "node", "whole", F.coalesce("comp", "node").alias("c"))
         split = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m")).where("l < m").select("key")
-        before, live = live, stored(named.join(split, "key").select("key", "node"))
+        before, live = live, stored(named.join(split, "key").select("key", "node", "whole"))
         for old in (before, sized, reps, likely):
             dropped(old)
         chosen *= 2
