@@ -1,15 +1,60 @@
-"""The corpus pipeline; its stages follow as their operators are finished."""
+"""The corpus pipeline: language, near-duplicates, benchmark passages, mixture, shards."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tracewell.llm import decontaminate, langid, mixing, neardup, sharding
+from tracewell.llm.common import stored, table
+
+#: Share of a document's letters that its language must have at least.
+LANGUAGE_SHARE = 0.5
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents of a language that is learned from the labelled ones; what has no letters or no main language goes."""
+    out = langid.identify(docs, langid.fit(docs))
+    return out.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, that with the smallest id."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold benchmark passages by the contract's rule."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document as often as the mix takes it; documents that it doesn't take go."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+
+
+def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives each row its shard and slot; equal texts are linked."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("language", by_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", without_benchmarks),
+    ("mixture", to_weights),
+    ("shards", to_shards),
+]
+
+#: Language identification can't be stated in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = stored(docs) if k < len(STAGES) - 1 else docs
     return docs
