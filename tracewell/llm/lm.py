@@ -18,13 +18,13 @@ from .common import appended, stored, table
 #: The end of a document, which no word can be; the word for all that aren't in the vocabulary has number 0.
 END = " "
 #: Words of the model and of each class; tokens whose counts are broadcast (about 100 bytes each).
-VOCABULARY, CLASS, FREQUENT = 2024, 45, 65_536
+VOCABULARY, CLASS, FREQUENT = 2024, 45, 131_072
 HIDDEN = 16
 #: The bounded sample that trains the model: documents, tokens of one (a longer one is cut), lanes, window, passes, step size.
 SAMPLE, SAMPLE_CHARS, SAMPLE_TOKENS, LANES, WINDOW, EPOCHS, RATE = 400, 200_000, 1_000, 32, 16, 4, 0.02
 SEED = 7
 FLUSH = 400_000
-PORTION = 6_000_000
+PORTION = 3_000_000
 STEPS = 64
 
 
@@ -265,10 +265,10 @@ def score(docs: DataFrame) -> DataFrame:
                 some, size = [], 0
         return out
 
-    keyed = docs.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("null")).alias("key"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, raw=True).drop("text")
     # a row of its own for each document, whose token has a space and the key in it, so that it meets none
-    own_row = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("key")).alias("token"), F.lit(0).cast("long").alias("n"))
+    own_row = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("key").cast("string")).alias("token"), F.lit(0).cast("long").alias("n"))
     each = partial.select("doc_id", "key", "n_tokens", "known", "base", "model", F.posexplode(F.concat(F.array(own_row), "rare")).alias("at", "rare"))
     first = F.col("at") == 0
     each = each.select("doc_id", "key", F.col("rare.token").alias("token"), F.col("rare.n").alias("m"), *[F.when(first, F.col(c)).alias(c) for c in ("n_tokens", "known", "base", "model")])
