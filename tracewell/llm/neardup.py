@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash.
 
 Documents with one set of shingles are a class from the start. Bands of minima name buckets. In a bucket, all members
-meet some chosen members, in rounds that double how many are chosen, as long as members lie in more than one component;
+meet some chosen members, in rounds that choose four times as many each, as long as members lie in more than one component;
 a chosen member has met all others and leaves. Large buckets that have members in common choose one member that has many
 bucket mates, the hub, and are divided, if they have many members: two members, of which one isn't linked with the hub, can be linked only if they share elements
 outside the hub, by which they meet again in smaller buckets. So every pair of a bucket is tried, known to be in one
@@ -29,7 +29,7 @@ SEED = 20_240_229
 WORD_CACHE = 1 << 19
 #: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
 #: divided around a hub beyond.
-LARGE, FAMILY = 32, 1024
+LARGE, FAMILY = 32, 512
 
 _rng = np.random.default_rng(SEED)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         before, live = live, stored(named.join(split, "key").select("key", "node", "whole"))
         for old in (before, sized, reps, likely):
             dropped(old)
-        chosen *= 2
+        chosen *= 4
     named = classes if comp is None else classes.join(comp, "node", "left")
     group = classes.select("node", "first", "size").withColumn("c", F.col("node")) if comp is None else named.select("node", "first", "size", F.coalesce("comp", "node").alias("c"))
     least = group.groupBy("c").agg(F.min("first").alias("component"), F.sum("size").alias("docs")).where("docs > 1")
