@@ -31,21 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, *keys: str) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: this cuts lineage and survives lost executors.
 
     Shuffle files of the write go when it ends, so that they do not add to what later jobs need.
-    keys: columns by which the written rows are dealt first.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    if keys:
-        df = df.repartition(*keys)
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,13 +111,13 @@ class SuffixAutomaton:
 
 
 def resolved(segments: DataFrame) -> DataFrame:
-    """anchor, words and earliest (the least document of each window) for segments (anchor, words, least) of several an anchor."""
+    """segment and earliest (the least document of each window) for segments (anchor, segment, words, least) of several an anchor."""
 
     def run(batches):
         now, tree = None, None
         for b in batches:
             out = []
-            for anchor, words, least in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for anchor, words, least in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                 if anchor != now:
                     now, tree = anchor, SuffixAutomaton()
                 w = words.split(" ")
@@ -124,23 +125,23 @@ def resolved(segments: DataFrame) -> DataFrame:
                 if None in found:
                     tree.add(w, least)
                 out.append([least if x is None else x for x in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.list_(pa.int64()))], names=["anchor", "words", "earliest"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, type=pa.list_(pa.int64()))], names=["segment", "earliest"])
 
-    dealt = segments.select("anchor", "words", "least").repartition("anchor").sortWithinPartitions("anchor", "least", "words")
-    return dealt.mapInArrow(run, "anchor long, words string, earliest array<bigint>")
+    dealt = segments.select("anchor", "segment", "words", "least").repartition("anchor").sortWithinPartitions("anchor", "least", "words")
+    return dealt.mapInArrow(run, "segment binary, earliest array<bigint>")
 
 
 def resolved_by_window(segments: DataFrame) -> DataFrame:
     w = F.split("words", " ")
-    cut = segments.select("anchor", "words", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda s: F.slice(w, s, WINDOW))).alias("at", "window"))
+    cut = segments.select("anchor", "segment", "least", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda s: F.slice(w, s, WINDOW))).alias("at", "window"))
     least = cut.groupBy("anchor", "window").agg(F.min("least").alias("first"))
     met = cut.join(least, ["anchor", "window"])
-    return met.groupBy("anchor", "words").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "first"))), lambda x: x["first"]).alias("earliest"))
+    return met.groupBy("segment").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "first"))), lambda x: x["first"]).alias("earliest"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text) and spans: (first word, words) of windows that begin in a document with a smaller id."""
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.md5("text").alias("key"), "text").where("key is not null")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
 
     def pick(texts):
         hashes = WordHashes()
@@ -161,36 +162,40 @@ def repeated(docs: DataFrame) -> DataFrame:
                 words = t.split()
                 anchor, start, end = anchors(words, hashes)
                 on = np.flatnonzero(np.isin(anchor, m.values.to_numpy()))
-                for a, s, e in zip(anchor[on].tolist(), start[on].tolist(), end[on].tolist(), strict=True):
-                    for c, v in zip(rows, (i, key, s, a, b" ".join(words[s : e + WINDOW])), strict=True):
-                        c.append(v)
+                first = start[on].tolist()
+                rows[0].extend([i] * len(on))
+                rows[1].extend([key] * len(on))
+                rows[2].extend(first)
+                rows[3].extend(anchor[on].tolist())
+                rows[4].extend([b" ".join(words[s:e]) for s, e in zip(first, (end[on] + WINDOW).tolist(), strict=True)])
                 if len(rows[0]) > 50_000:
                     yield segment_batch(rows)
                     rows = ([], [], [], [], [])
             yield segment_batch(rows)
 
     met = keyed.join(marks, ["id", "key"]).select("id", "key", "text", "marks")
-    segments = stored(met.mapInArrow(cut, "id long, key string, start int, anchor long, words string"))
+    segments = stored(met.mapInArrow(cut, "id long, key long, start int, anchor long, words string, segment binary"), compression="zstd")
     dropped(marks)
-    distinct = stored(segments.groupBy("anchor", "words").agg(F.min("id").alias("least")))
-    counts = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    counted = stored(distinct.join(counts, "anchor"))
-    n_windows = F.size(F.split("words", " ")) - WINDOW + 1
-    alone = counted.where("n = 1").select("anchor", "words", F.array_repeat("least", n_windows).alias("earliest"))
-    found = alone.union(resolved(counted.where((F.col("n") > 1) & (F.col("n") <= SEGMENTS))))
-    if not (hot := counted.where(F.col("n") > SEGMENTS)).isEmpty():
-        found = found.union(resolved_by_window(hot))
-    found = stored(found)
-    met = segments.join(found, ["anchor", "words"])
+    distinct = stored(segments.groupBy("anchor", "segment", "words").agg(F.min("id").alias("least")), compression="zstd")
+    several = stored(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    alone = distinct.join(several, "anchor", "left_anti").select("segment", "least", F.lit(None).cast("array<bigint>").alias("earliest"))
+    found = resolved(distinct.join(several.where(F.col("n") <= SEGMENTS), "anchor"))
+    if not (hot := several.where(F.col("n") > SEGMENTS)).isEmpty():
+        found = found.union(resolved_by_window(distinct.join(hot, "anchor")))
+    found = stored(alone.union(found.select("segment", F.lit(None).cast("long").alias("least"), "earliest")))
+    dropped(distinct)
+    met = segments.select("id", "key", "start", "segment", (F.size(F.split("words", " ")) - WINDOW + 1).alias("n")).join(found, "segment")
+    met = met.withColumn("earliest", F.coalesce("earliest", F.array_repeat("least", F.col("n"))))
     later = F.filter(F.transform("earliest", lambda x, k: F.when(x < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
     met = met.select("id", "key", later.alias("starts")).where(F.size("starts") > 0)
     return stored(met.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
 
 
 def segment_batch(rows: tuple[list, ...]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int32(), pa.int64())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
     arrays = [pa.array(c, type=t) for c, t in zip(rows, types, strict=False)]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(rows[4], type=pa.binary()).cast(pa.string())], names=["id", "key", "start", "anchor", "words"])
+    words, segment = pa.array(rows[4], type=pa.binary()), pa.array([xxhash.xxh3_128_digest(w) for w in rows[4]], type=pa.binary())
+    return pa.RecordBatch.from_arrays([*arrays, words.cast(pa.string()), segment], names=["id", "key", "start", "anchor", "words", "segment"])
 
 
 def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
@@ -203,7 +208,7 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     fields = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text
     spans = repeated(docs.select("doc_id", "text")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
     base = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    base = base.join(spans, (F.coalesce(base["doc_id"], F.lit(LAST)) == F.col("_id")) & (F.md5(base["text"]) == F.col("_key")), "left").drop("_id", "_key")
+    base = base.join(spans, (F.coalesce(base["doc_id"], F.lit(LAST)) == F.col("_id")) & (F.xxhash64(base["text"]) == F.col("_key")), "left").drop("_id", "_key")
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
