@@ -28,8 +28,9 @@ KEPT, BITS, MARGIN = 128, 4, 0.22
 SEED = 20_240_229
 WORD_CACHE = 1 << 19
 #: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
-#: divided around a hub beyond.
-LARGE, FAMILY = 32, 512
+#: divided around a hub beyond. What is left of a divided family has little structure that another hub would show, so
+#: that it is divided again only from more members on.
+LARGE, FAMILY, AFTER = 32, 512, 4096
 
 _rng = np.random.default_rng(SEED)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             # large buckets with members in common are one family with one hub
             mates = sized.where("large").groupBy("node").agg(F.sum("size").alias("weight"))
             family = components(large).join(mates, "node").select("node", "comp", "weight")
-            wide = F.count(F.lit(1)) > FAMILY
+            wide = F.count(F.lit(1)) > (FAMILY if chosen == 1 else AFTER)
             family = stored(family.join(family.groupBy("comp").agg(wide.alias("wide")), "comp"))
             one_bucket = family.where(~F.col("wide")).select(F.xxhash64("comp").alias("key"), "node", F.lit(True).alias("whole"))
             family = family.where("wide")
