@@ -227,7 +227,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
         new = judged.where("linked").select("a", "b")
         parts = None
-        large = sized.where("large").select(F.col("node").alias("a"), F.unhex(F.hex("key")).alias("b"))
+        # a bucket's members are linked by its least node; buckets of a family mostly share theirs
+        centre = sized.where("large").groupBy("key").agg(F.min("node").alias("b"))
+        large = stored(sized.where("large").join(centre, "key").select(F.col("node").alias("a"), "b").distinct())
         if not large.isEmpty():
             # large buckets with members in common are one family with one hub
             mates = sized.where("large").groupBy("node").agg(F.sum("size").alias("weight"))
