@@ -97,11 +97,12 @@ def empty_like(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False) -> DataFrame:
+def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False, rows: int | None = None) -> DataFrame:
     """df with further columns that work() gives for a batch of texts: lists in the order of `fields`, a DDL string.
 
     work runs in Arrow batches on the executors, over whole texts (None for null; raw: as UTF-8 bytes); columns of df with the new names are
-    replaced. A batch is as large as spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch let it be.
+    replaced. A batch is as large as spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch let it be;
+    with `rows`, work gets so many texts of it at a time, which bounds what a worker holds as Python objects.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -111,7 +112,7 @@ def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool =
     types = [to_arrow_type(f.dataType) for f in new]
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows)) if rows else batches:
             texts = b.column(b.schema.get_field_index(column))
             given = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
             arrays = [pa.array(x, type=t) for x, t in zip(given, types, strict=True)]

@@ -26,7 +26,8 @@ BANDS, ROWS = 26, 5
 #: Minima that keep BITS low bits for the estimate, and how far below the threshold it may lie (six standard deviations).
 KEPT, BITS, MARGIN = 128, 4, 0.22
 SEED = 20_240_229
-WORD_CACHE = 1 << 19
+#: Hashes of words that a Python worker keeps, and texts that it holds as Python objects at a time.
+WORD_CACHE, TEXTS = 1 << 17, 256
 #: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
 #: divided around a hub beyond. What is left of a divided family has little structure that another hub would show, so
 #: that it is divided again only from more members on.
@@ -88,29 +89,33 @@ def sketch(h: np.ndarray) -> tuple[bytes, list[int], list[int]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
+    hashes = WordHashes()
+
     def work(texts):
-        hashes, out = WordHashes(), ([], [], [], [])
+        out = ([], [], [], [])
         for t in texts:
             h = shingle_hashes(t, hashes)
             for c, v in zip(out, (len(h), *(sketch(h) if len(h) else (None, [], []))), strict=True):
                 c.append(v)
         return out
 
-    return appended(docs, "n_shingles long, node binary, bands array<bigint>, low array<bigint>", work, raw=True)
+    return appended(docs, "n_shingles long, node binary, bands array<bigint>, low array<bigint>", work, raw=True, rows=TEXTS)
 
 
 def sets(docs: DataFrame) -> DataFrame:
     """node and its sorted shingle hashes."""
 
+    hashes = WordHashes()
+
     def work(texts):
-        hashes, nodes, out = WordHashes(), [], []
+        nodes, out = [], []
         for t in texts:
             h = shingle_hashes(t, hashes)
             nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
             out.append(h.view(np.int64))
         return [nodes, out]
 
-    return appended(docs, "node binary, shingles array<bigint>", work, raw=True).select("node", "shingles")
+    return appended(docs, "node binary, shingles array<bigint>", work, raw=True, rows=TEXTS).select("node", "shingles")
 
 
 def estimate(a: Column, b: Column) -> Column:
