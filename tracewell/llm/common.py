@@ -31,20 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy", conf: dict[str, str] | None = None) -> DataFrame:
     """The frame, written as Parquet to the shared folder and read again: this cuts lineage and survives lost executors.
 
     Shuffle files of the write go when it ends, so that they do not add to what later jobs need.
+    `conf` holds for this write alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, None)
-    spark.conf.set(clean, "true")
+    during = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (conf or {})
+    before = {k: spark.conf.get(k, None) for k in during}
+    for k, v in during.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
     return out
@@ -97,12 +100,13 @@ def empty_like(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False, rows: int | None = None) -> DataFrame:
+def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False, rows: int | None = None, keep: bool = True) -> DataFrame:
     """df with further columns that work() gives for a batch of texts: lists in the order of `fields`, a DDL string.
 
     work runs in Arrow batches on the executors, over whole texts (None for null; raw: as UTF-8 bytes); columns of df with the new names are
     replaced. A batch is as large as spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch let it be;
     with `rows`, work gets so many texts of it at a time, which bounds what a worker holds as Python objects.
+    keep=False leaves the texts out of the result, so that they needn't travel back.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -110,15 +114,17 @@ def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool =
     new = T.StructType.fromDDL(fields)
     df = df.drop(*new.names)
     types = [to_arrow_type(f.dataType) for f in new]
+    old = [f for f in df.schema.fields if keep or f.name != column]
+    names = [f.name for f in old]
 
     def run(batches):
         for b in (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows)) if rows else batches:
             texts = b.column(b.schema.get_field_index(column))
             given = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
             arrays = [pa.array(x, type=t) for x, t in zip(given, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *new.names])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *arrays], names=[*names, *new.names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))
+    return df.mapInArrow(run, T.StructType([*old, *new.fields]))
 
 
 def spans_digest(spans: Column) -> Column:

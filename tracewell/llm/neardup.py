@@ -28,6 +28,8 @@ KEPT, BITS, MARGIN = 128, 4, 0.22
 SEED = 20_240_229
 #: Hashes of words that a Python worker keeps, and texts that it holds as Python objects at a time.
 WORD_CACHE, TEXTS = 1 << 17, 256
+#: Small Arrow batches, as texts are many times as large as what is made of them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 #: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
 #: divided around a hub beyond. What is left of a divided family has little structure that another hub would show, so
 #: that it is divided again only from more members on.
@@ -99,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 c.append(v)
         return out
 
-    return appended(docs, "n_shingles long, node binary, bands array<bigint>, low array<bigint>", work, raw=True, rows=TEXTS)
+    return appended(docs, "n_shingles long, node binary, bands array<bigint>, low array<bigint>", work, raw=True, rows=TEXTS, keep=False)
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def sets(docs: DataFrame) -> DataFrame:
             out.append(h.view(np.int64))
         return [nodes, out]
 
-    return appended(docs, "node binary, shingles array<bigint>", work, raw=True, rows=TEXTS).select("node", "shingles")
+    return appended(docs, "node binary, shingles array<bigint>", work, raw=True, rows=TEXTS, keep=False).select("node", "shingles")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Documents without words, or without doc_id, are linked with nothing: their component is their own id, and they are
     kept. Rows repeat as in docs; rows that share a doc_id are told apart by their texts.
     """
-    found = stored(sketches(docs.select("doc_id", "text")).drop("text"))
+    found = stored(sketches(docs.select("doc_id", "text")), conf=BATCHES)
     linkable = found.where("node is not null and doc_id is not null")
     classes = stored(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")))
     firsts = linkable.join(classes, (linkable["node"] == classes["node"]) & (linkable["doc_id"] == classes["first"])).select(linkable["node"], "first", "n_shingles", "bands", "low")
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     sigs = stored(firsts.join(wanted, "node").select("node", "first", "n_shingles", "low").dropDuplicates(["node"]))
     ids = sigs.select(F.col("first").alias("doc_id")).distinct()
     few = sigs.count() <= 4_000_000  # ids of 8 bytes are broadcast up to this number
-    full = stored(sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")))
+    full = stored(sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")), conf=BATCHES)
     sig = sigs.select("node", "n_shingles", "low")
     weights = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
     weights = stored(weights)
