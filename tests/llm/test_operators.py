@@ -140,6 +140,23 @@ def test_language_model(docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_language_model_learns_from_all_training_tokens(spark):
+    n = 210_000  # characters, far beyond any prefix; both corpora have the same counts and the same beginning
+    head, tails = "x " * 1_500, ("a b " * (n // 4), "a a b b " * (n // 8))
+    asked = [(2, "a b " * 50)]
+    scores = []
+    for tail in tails:
+        docs = spark.createDataFrame([(k, head + tail) for k in range(4)] + asked, "doc_id long, text string")
+        scores.append(lm.score(docs).where("n_tokens = 101").first()["score"])
+    assert scores[0] > scores[1] + 10
+
+    rows = [(k, " ".join(f"w{(k * j) % 97}" for j in range(30 * k))) for k in range(60)]
+    numbers = lambda t: np.array([*(2 + int(w[1:]) for w in t.decode().split()), 1])
+    learned = [lm.learn(lm.GatedModel(100), spark.createDataFrame(r, "doc_id long, text string").repartition(p), 2_000_000, numbers, 1) for r, p in ((rows, 1), (rows[::-1], 5))]
+    assert learned == [sum(30 * k + 1 for k in range(60))] * 2
+    assert lm.vocabulary(10**6) < lm.vocabulary(10**8) < lm.vocabulary(10**9)
+
+
 def test_gradients_equal_differences():
     model = lm.GatedModel(100, hidden=5)
     model.start(np.ones(100))

@@ -1,27 +1,35 @@
 """Scoring by a gated recurrent language model.
 
-Counts of all training tokens give the base score and the probability of words outside the model's vocabulary. The
-model is a gated recurrent unit in numpy, trained by backpropagation through windows with the state carried over, on a
-bounded sample; its output is a softmax over classes of words and one within the class. Whole documents are scored in
-windows, many at once, each with its state carried from window to window.
+Counts of all training tokens give the base score and the probability of words outside the model's vocabulary, which
+grows with the root of the training tokens. The model is a gated recurrent unit in numpy; its output is a softmax over
+classes of words and one within the class. It learns from every token of every training document: executors train on
+shards of whole texts by backpropagation through windows with the state carried over, and the weights of a round's
+shards are averaged. Whole documents are scored in windows, many at once, each with its state carried from window to
+window.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, stored, table
+from .common import appended, dropped, stored, table
 
 #: The end of a document, which no word can be; the word for all that aren't in the vocabulary has number 0.
 END = " "
-#: Words of the model and of each class; tokens whose counts are broadcast (about 100 bytes each).
-VOCABULARY, CLASS, FREQUENT = 2024, 45, 131_072
+#: Words of the model at least (it has the root of the training tokens beyond that); tokens whose counts are broadcast (about 100 bytes each).
+VOCABULARY, FREQUENT = 2024, 131_072
 HIDDEN = 16
-#: The bounded sample that trains the model: documents, tokens of one (a longer one is cut), lanes, window, passes, step size.
-SAMPLE, SAMPLE_CHARS, SAMPLE_TOKENS, LANES, WINDOW, EPOCHS, RATE = 400, 200_000, 1_000, 32, 16, 4, 0.02
+#: Training: lanes at least and at most, tokens of a lane in a block, window, tokens that a small corpus is repeated for, passes at most, step size.
+LANES, MOST_LANES, STRETCH, WINDOW, ENOUGH, EPOCHS, RATE = 32, 256, 512, 16, 1_600_000, 4, 0.02
+#: Rounds of a pass, each over its own documents and followed by an average; roots of training tokens for each shard; numbers in a row of weights.
+ROUNDS, ROOTS, SLICE = 3, 240, 8_192
 SEED = 7
 FLUSH = 400_000
 PORTION = 3_000_000
@@ -33,20 +41,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class GatedModel:
-    """vocabulary numbers in frequency order are in classes of CLASS words each."""
+    """vocabulary numbers in frequency order are in classes of about the root of the vocabulary each."""
 
     def __init__(self, size: int, seed: int = SEED, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
-        self.size, self.hidden, self.classes = size, hidden, -(-size // CLASS)
+        self.size, self.hidden, self.width = size, hidden, math.isqrt(size - 1) + 1
+        self.classes = -(-size // self.width)
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": f(hidden, self.classes), "bc": f(self.classes) * 0, "Wo": f(self.classes, hidden, CLASS), "bo": np.zeros((self.classes, CLASS), dtype=np.float32)}
-        self.p["bo"][-1, size - (self.classes - 1) * CLASS :] = -1e9  # the last class may have fewer words
+        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": f(hidden, self.classes), "bc": f(self.classes) * 0, "Wo": f(self.classes, hidden, self.width), "bo": np.zeros((self.classes, self.width), dtype=np.float32)}
+        self.p["bo"][-1, size - (self.classes - 1) * self.width :] = -1e9  # the last class may have fewer words
 
     def start(self, counts: np.ndarray) -> None:
         """Output biases by counts of the vocabulary."""
-        logs = np.full(self.classes * CLASS, -1e9, dtype=np.float64)
+        logs = np.full(self.classes * self.width, -1e9, dtype=np.float64)
         logs[: self.size] = np.log(counts + 1.0)
-        by_class = logs.reshape(self.classes, CLASS)
+        by_class = logs.reshape(self.classes, self.width)
         top = by_class.max(axis=1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(by_class - top).sum(axis=1))
         self.p["bo"] = (by_class - total[:, None]).astype(np.float32)
@@ -61,10 +70,11 @@ class GatedModel:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each next word after each state."""
-        cls, place = y // CLASS, y % CLASS
+        cls, place = y // self.width, y % self.width
         a = h @ self.p["Wc"] + self.p["bc"]
         a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(y)), cls] - np.log(np.exp(a).sum(axis=1))
+        out = a[np.arange(len(y)), cls]
+        out -= np.log(np.exp(a, out=a).sum(axis=1))
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in range(self.classes):
@@ -75,76 +85,120 @@ class GatedModel:
                 out[i] += b[np.arange(len(i)), place[i]] - np.log(np.exp(b).sum(axis=1))
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Of the mean loss of one window (steps, lanes); y < 0 is not counted. Also the state after it and the loss."""
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """Gradients of the mean loss of one window (steps, lanes), each with the rows it has (None for all); y < 0 is not counted.
+
+        Also the state after the window and the loss.
+        """
         p, n = self.p, self.hidden
-        steps, kept, states = len(x), [], []
+        steps, kept, states, inputs = len(x), [], [], p["E"][x]
         for t in range(steps):
             before = h
-            h, z, r, c, g = self.step(p["E"][x[t]], h)
+            h, z, r, c, g = self.step(inputs[t], h)
             kept.append((before, z, r, c, g))
             states.append(h)
         hs, ys = np.concatenate(states), y.ravel()
         on = ys >= 0
         count = max(1, int(on.sum()))
-        cls, place = np.maximum(ys, 0) // CLASS, np.maximum(ys, 0) % CLASS
+        cls, place = np.maximum(ys, 0) // self.width, np.maximum(ys, 0) % self.width
         a = hs @ p["Wc"] + p["bc"]
-        a = np.exp(a - a.max(axis=1, keepdims=True))
+        a -= a.max(axis=1, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(axis=1, keepdims=True)
         loss = -float(np.log(a[np.arange(len(ys)), cls] + 1e-12)[on].sum())
         a[np.arange(len(ys)), cls] -= 1
-        a *= (on / count)[:, None]
-        d = {"E": np.zeros_like(p["E"]), "U": np.zeros_like(p["U"]), "Wc": hs.T @ a, "bc": a.sum(axis=0), "Wo": np.zeros_like(p["Wo"]), "bo": np.zeros_like(p["bo"])}
+        a *= (on / count).astype(a.dtype)[:, None]
+        d = {"Wc": (None, hs.T @ a), "bc": (None, a.sum(axis=0))}
         dh_out = a @ p["Wc"].T
-        for c in np.unique(cls[on]):
-            i = np.flatnonzero((cls == c) & on)
-            b = hs[i] @ p["Wo"][c] + p["bo"][c]
-            b = np.exp(b - b.max(axis=1, keepdims=True))
+        order = np.flatnonzero(on)
+        order = order[np.argsort(cls[order], kind="stable")]
+        there, first = np.unique(cls[order], return_index=True)
+        wo, bo = np.empty((len(there), *p["Wo"].shape[1:]), p["Wo"].dtype), np.empty((len(there), self.width), p["bo"].dtype)
+        for k, (c, start, stop) in enumerate(zip(there, first, [*first[1:], len(order)], strict=True)):
+            i = order[start:stop]
+            hi = hs[i]
+            b = hi @ p["Wo"][c] + p["bo"][c]
+            b -= b.max(axis=1, keepdims=True)
+            np.exp(b, out=b)
             b /= b.sum(axis=1, keepdims=True)
-            loss -= float(np.log(b[np.arange(len(i)), place[i]] + 1e-12).sum())
-            b[np.arange(len(i)), place[i]] -= 1
+            own = (np.arange(len(i)), place[i])
+            loss -= float(np.log(b[own] + 1e-12).sum())
+            b[own] -= 1
             b /= count
-            d["Wo"][c], d["bo"][c] = hs[i].T @ b, b.sum(axis=0)
+            wo[k], bo[k] = hi.T @ b, b.sum(axis=0)
             dh_out[i] += b @ p["Wo"][c].T
+        d |= {"Wo": (there, wo), "bo": (there, bo)}
         dh_out = dh_out.reshape(steps, -1, n)
-        dh = np.zeros_like(h)
+        dh, du = np.zeros_like(h), np.zeros_like(p["U"])
+        dxs = np.empty(inputs.shape, inputs.dtype)
         for t in reversed(range(steps)):
             before, z, r, c, g = kept[t]
             dh = dh + dh_out[t]
             dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * g * r * (1 - r)
-            dx = np.concatenate([dz, dr, dc], axis=1)
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(d["E"], x[t], dx)
-            d["U"] += before.T @ dg
+            dx = dxs[t]
+            dx[:, :n], dx[:, n : 2 * n], dx[:, 2 * n :] = dh * (before - c) * z * (1 - z), dc * g * r * (1 - r), dc
+            dg = dx.copy()
+            dg[:, 2 * n :] *= r
+            du += before.T @ dg
             dh = dh * z + dg @ p["U"].T
+        xs = x.ravel()
+        order = np.argsort(xs, kind="stable")
+        rows, first = np.unique(xs[order], return_index=True)
+        d |= {"U": (None, du), "E": (rows, np.add.reduceat(dxs.reshape(len(xs), -1)[order], first))}
         return d, h, loss / count
 
-    def train(self, docs: list[np.ndarray], epochs: int = EPOCHS) -> list[float]:
-        """Adagrad over lanes of documents that follow each other, each from the state after an end; gives the losses of passes."""
-        lanes: list[list[np.ndarray]] = [[] for _ in range(LANES)]
-        for d in sorted(docs, key=len, reverse=True):
-            min(lanes, key=lambda x: sum(map(len, x))).append(d)
-        flat = [np.concatenate([[-1], *x]) if x else np.array([-1]) for x in lanes]
-        most = max(map(len, flat))
-        stream = np.full((most, LANES), -1, dtype=np.int64)
-        for k, f in enumerate(flat):
-            stream[: len(f), k] = f
-        square = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-        losses = []
-        for _ in range(epochs):
-            h, total = np.zeros((LANES, self.hidden), dtype=np.float32), []
-            for t in range(0, most - 1, WINDOW):
-                part = stream[t : t + WINDOW + 1]
-                d, h, loss = self.gradients(np.maximum(part[:-1], 0), part[1:], h)
-                total.append(loss)
-                for k, g in d.items():
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """As window(), with gradients in the shapes of the weights."""
+        d, h, loss = self.window(x, y, h)
+        whole = {k: np.zeros_like(v) for k, v in self.p.items()}
+        for k, (rows, g) in d.items():
+            whole[k][... if rows is None else rows] = g
+        return whole, h, loss
+
+    def train(self, docs: Iterable[np.ndarray], square: dict[str, np.ndarray], lanes: int, end: int) -> np.ndarray:
+        """Adagrad over all numbers of docs, each of which ends with `end`; gives how often each word was learned.
+
+        The documents follow each other in blocks, whose equal parts are the lanes; `square` is the sum of squares so far.
+        """
+        seen, before = np.zeros(self.size, dtype=np.int64), end
+
+        def block(flat: np.ndarray, before: int) -> None:
+            most = -(-len(flat) // lanes)
+            y = np.full(most * lanes, -1, dtype=np.int64)
+            y[: len(flat)] = flat
+            x = np.concatenate([[before], np.maximum(y[:-1], 0)]).reshape(lanes, most).T
+            y, h = y.reshape(lanes, most).T, np.zeros((lanes, self.hidden), dtype=np.float32)
+            for t in range(0, most, WINDOW):
+                d, h, _ = self.window(x[t : t + WINDOW], y[t : t + WINDOW], h)
+                for k, (rows, g) in d.items():
+                    at = ... if rows is None else rows
                     np.clip(g, -1, 1, out=g)
-                    square[k] += g * g
-                    self.p[k] -= (RATE * g / np.sqrt(square[k])).astype(np.float32)
-            losses.append(float(np.mean(total)) if total else 0.0)
-        return losses
+                    q = square[k][at] + g * g
+                    square[k][at] = q
+                    self.p[k][at] -= RATE * g / np.sqrt(q)
+            np.add.at(seen, flat, 1)
+
+        held, n = [], 0
+        for doc in docs:
+            held.append(doc)
+            n += len(doc)
+            if n >= lanes * STRETCH:
+                flat, at = np.concatenate(held), 0
+                while n - at >= lanes * STRETCH:
+                    block(flat[at : at + lanes * STRETCH], before)
+                    at += lanes * STRETCH
+                    before = int(flat[at - 1])
+                held, n = [flat[at:]], n - at
+        if n:
+            block(np.concatenate(held), before)
+        return seen
+
+    def shares(self, seen: np.ndarray) -> dict[str, np.ndarray | float]:
+        """What a shard's weights count in an average, by how often it learned each word."""
+        padded = np.zeros(self.classes * self.width)
+        padded[: self.size] = seen
+        by_class, total = padded.reshape(self.classes, self.width).sum(axis=1), float(seen.sum())
+        return {"E": np.asarray(seen, dtype=np.float64)[:, None], "U": total, "Wc": total, "bc": total, "Wo": by_class[:, None, None], "bo": by_class[:, None]}
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """log10 of the probability of each document's numbers, which end with `end`; the state begins as after an end."""
@@ -200,6 +254,70 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def vocabulary(tokens: int) -> int:
+    """Words of the model, the unknown one included, for so many training tokens."""
+    return min(FREQUENT, max(VOCABULARY, math.isqrt(tokens)))
+
+
+def learn(model: GatedModel, train: DataFrame, tokens: int, as_numbers: Callable[[bytes], np.ndarray], end: int) -> int:
+    """Trains the model on all tokens of all rows of train and gives how many it learned from in a pass.
+
+    Rows are dealt to rounds and shards by their hash, so that the weights depend on neither partitions nor cores. Each shard
+    of a round goes on from the round's weights; their changes are averaged, weighted by what the shard learned of a word
+    (E), of a class (Wo, bo) or in all. What is summed is a model a shard, of which there are as many as the root of the
+    tokens asks for.
+    """
+    square = {k: np.full_like(v, 1e-6) for k, v in model.p.items()}
+    shards, learned = max(1, math.isqrt(tokens) // ROOTS), 0
+    rounds = min(ROUNDS, shards)
+    lanes = min(MOST_LANES, max(LANES, tokens // 100_000))
+    each = -(-shards // rounds)
+    pieces = -(-sum(2 * v.size for v in model.p.values()) // SLICE)
+    h = F.xxhash64("doc_id", "text", F.lit(SEED))
+    keyed = train.select(h.alias("h"), F.pmod(F.xxhash64(h), F.lit(each)).cast("int").alias("shard"), "text")
+    for k in range(min(EPOCHS, max(1, -(-ENOUGH // max(1, tokens)))) * rounds):
+        part = keyed.where(F.pmod("h", F.lit(rounds)) == k % rounds).repartitionById(each, "shard").sortWithinPartitions("shard", "h")
+        state = {f"{name}{c}": v for c, x in (("", model.p), ("2", square)) for name, v in x.items()}
+
+        def run(batches, state=state):
+            rows = (r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
+            for shard, of_shard in groupby(rows, lambda r: r[0]):
+                own = GatedModel(model.size)
+                own.p, sums = ({name: state[f"{name}{c}"].copy() for name in model.p} for c in ("", "2"))
+                seen = own.train((as_numbers(t or b"") for _, t in of_shard), sums, lanes, end)
+                shares = own.shares(seen)
+                changes = {"seen": seen}
+                for c, x in (("", own.p), ("2", sums)):
+                    changes |= {f"{name}{c}": (v - state[f"{name}{c}"]) * shares[name] for name, v in x.items()}
+                for name, v in changes.items():
+                    flat = v.ravel().astype(np.float32)
+                    at = range(0, len(flat), SLICE)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array([shard] * len(at), pa.int32()), pa.array([flat[i : i + SLICE].tobytes() for i in at])], names=["name", "at", "shard", "v"])
+
+        def summed(batches):
+            rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for (name, at), same in groupby(rows, lambda r: r[:2]):
+                total = sum(np.frombuffer(r[3], dtype=np.float32).astype(np.float64) for r in same)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at], pa.int32()), pa.array([total.tobytes()])], names=["name", "at", "v"])
+
+        changed = part.mapInArrow(run, "name string, at int, shard int, v binary").repartition(max(8, pieces // 16), "name", "at").sortWithinPartitions("name", "at", "shard")
+        sums = stored(changed.mapInArrow(summed, "name string, at int, v binary"))
+        got: dict[str, dict[int, np.ndarray]] = {}
+        for row in sums.collect():
+            got.setdefault(row["name"], {})[row["at"]] = np.frombuffer(row["v"])
+        dropped(sums)
+        if not got:
+            continue
+        whole = {name: np.concatenate([x[at] for at in sorted(x)]) for name, x in got.items()}
+        seen = whole.pop("seen")
+        learned += int(seen.sum()) if k < rounds else 0
+        shares = model.shares(seen)
+        for c, x in (("", model.p), ("2", square)):
+            for name, v in x.items():
+                x[name] = (v + whole[f"{name}{c}"].reshape(v.shape) / np.maximum(shares[name], 1)).astype(np.float32)
+    return learned
+
+
 def score(docs: DataFrame) -> DataFrame:
     """The columns of op6 for each row of docs (doc_id, text).
 
@@ -214,35 +332,31 @@ def score(docs: DataFrame) -> DataFrame:
     if all(t != END.encode() for t, _ in top):
         top = [(END.encode(), 0), *top[: FREQUENT - 1]]
     top.sort(key=lambda x: (x[0] != END.encode(), -x[1], x[0]))
-    own = top[: VOCABULARY - 1]
+    size = vocabulary(N)
+    own = top[: size - 1]
     n_unk, v_unk = N - sum(n for _, n in own), V - sum(n > 0 for _, n in own)
     number = {t: k + 1 for k, (t, _) in enumerate(top)}
     end = 1
-    model = GatedModel(VOCABULARY)
-    sizes = np.zeros(VOCABULARY)
+    model = GatedModel(size)
+    sizes = np.zeros(size)
     sizes[0], sizes[1 : len(own) + 1] = n_unk, [n for _, n in own]
     model.start(sizes)
-    part = (F.xxhash64("doc_id", F.lit(SEED)) / F.lit(2.0**64)) + 0.5
-    ends = max(1, dict(top)[END.encode()])
-    sample = train.where((part <= min(1.0, SAMPLE / ends)) & (F.char_length("text") <= SAMPLE_CHARS)).select("doc_id", F.substring("text", 1, SAMPLE_TOKENS * 40).alias("text"))
-    rows = sorted((r["doc_id"] or 0, r["text"]) for r in sample.collect())
-    as_numbers = lambda t: np.array([k if (k := number.get(w, 0)) < VOCABULARY else 0 for w in t.encode().lower().split()][:SAMPLE_TOKENS] + [end], dtype=np.int64)
-    if rows:
-        model.train([as_numbers(t) for _, t in rows])
+    inside = {t: k + 1 for k, (t, _) in enumerate(own)}
+    learn(model, train, N, lambda t: np.array([*(inside.get(w, 0) for w in t.lower().split()), end], dtype=np.int64), end)
 
     log_base = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (N + V + 1))
     log_unk = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (n_unk + v_unk + 1))
-    log_unk[1:VOCABULARY] = 0.0  # the model has these words itself
+    log_unk[1:size] = 0.0  # the model has these words itself
     known = np.array([False, *(n > 0 for _, n in top)])
 
     def work(texts):
         out = ([], [], [], [], [])
-        some, size = [], 0
+        some, held = [], 0
         for t in [*texts, None]:
             if len(out[0]) + len(some) < len(texts):
                 some.append(t or b"")
-                size += len(t or b"")
-            if some and (size >= PORTION or len(out[0]) + len(some) == len(texts)):
+                held += len(t or b"")
+            if some and (held >= PORTION or len(out[0]) + len(some) == len(texts)):
                 ids, rare = [], []
                 for x in some:
                     w = x.lower().split()
@@ -254,7 +368,7 @@ def score(docs: DataFrame) -> DataFrame:
                             if not own_number:
                                 beyond[word] = beyond.get(word, 0) + 1
                     rare.append([{"token": word.decode(), "n": n} for word, n in beyond.items()])
-                scores = model.score([np.where(i < VOCABULARY, i, 0) for i in ids], end)
+                scores = model.score([np.where(i < size, i, 0) for i in ids], end)
                 for i, s, r in zip(ids, scores, rare, strict=True):
                     there = i[i > 0]
                     out[0].append(len(i))
@@ -262,7 +376,7 @@ def score(docs: DataFrame) -> DataFrame:
                     out[2].append(float(log_base[there].sum()))
                     out[3].append(float(s + log_unk[there].sum()))
                     out[4].append(r)
-                some, size = [], 0
+                some, held = [], 0
         return out
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
