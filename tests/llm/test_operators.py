@@ -66,6 +66,28 @@ def test_secrets(docs, none):
     assert secrets.guesses("aaaaaaaa") < secrets.guesses("qwertyui") < secrets.guesses("x7#Kq9!z")
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("DB_PASSWORD=Tr0ub4dor&3xq9", "Tr0ub4dor&3xq9"),
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENGbPxRfiCYzz", "wJalrXUtnFEMI/K7MDENGbPxRfiCYzz"),
+        ("db_password: 'p@ss w0rd!Zq81'", "p@ss w0rd!Zq81"),
+        ("client_secret=a!b#c$d%9Kq2", "a!b#c$d%9Kq2"),
+        ("pwd: xqzvkjwpmtr", "xqzvkjwpmtr"),
+        ("mysql.pass=zq!7Kd#x", "zq!7Kd#x"),
+        ("dbPass = zq!7Kd#x.", "zq!7Kd#x"),
+        ("the api key is zq!7Kd#x, keep it", "zq!7Kd#x"),
+    ],
+)
+def test_secrets_of_compound_names(text, value):
+    assert [x[4] for x in secrets.scan(text)] == [value]
+
+
+def test_secrets_leave_other_words():
+    for text in ("author: Jonathan Xq7!kzzw", "opinion = Zq81!xkw", "compass: northwest9!x", "The secretary: Xq7!kzzw", "The password is required.", "token:", "x" * 50_000, "pass" * 20_000):
+        assert not secrets.scan(text), text
+
+
 def test_language(docs, none):
     rng = random.Random(4)
     sets = {"en": ["the", "with", "which", "house", "think"], "de": ["der", "nicht", "zwischen", "haus", "über"], "ru": ["это", "который", "дом"]}

@@ -22,8 +22,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}+")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+# A credential's name is a run of identifier characters with one of these in it; short words that many others have in them stand for themselves or are a part of the name.
+NAMED = r"(?ai:passw(?:or)?d|passphrase|passcode|pwd|secret(?!ar)|token|(?:api|access|private)[_-]?key|credential)"
+PART = r"(?:(?<![A-Za-z])(?:(?ai:pass|auth|login|pin)(?![A-Za-z])|(?:[Pp]ass|[Aa]uth|[Ll]ogin|[Pp]in)(?=[A-Z]))|(?<=[a-z])(?:Pass|Auth|Login|Pin)(?![a-z])|(?ai:(?<!com|sur)(?<!by)(?<!tres|over)(?<!under)pass(?![a-z])))"
+NAME = r"[A-Za-z0-9_.-]"
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:password|passwd|passphrase|passcode|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|credentials?|login|pin)\b)["']?(?:\x20{0,4}(?::=|=>|[:=])\x20{0,4}|\x20is\x20)(["'])?([^\s"'<>,;]{6,})"""
+    rf"""(?<!{NAME})(?:(?={NAME}*?(?:{NAMED}|{PART})){NAME}*+|{NAME}*?(?ai:api|access|private)\x20(?ai:key){NAME}*+)["']?(?:\x20{{0,4}}(?::=|=>|[:=])\x20{{0,4}}|(?P<prose>\x20is\x20))"""
+    r"""(?:"(?P<double>[^"\r\n]{6,1024})"|'(?P<single>[^'\r\n]{6,1024})'|(?P<open>["'])?(?P<value>[^\s"'<>,;]{6,}))"""
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "login", "pin")
 #: log10 of the guesses from which a value counts as a secret.
@@ -114,12 +119,15 @@ def scan(text: str | None, price: float = PRICE) -> list[tuple[str, int, int, bo
     low = text.lower()
     if any(k in low for k in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            end = m.end(2)
-            while end > m.start(2) and not m[1] and text[end - 1] in ".:!?)]}":
+            group = next(g for g in ("double", "single", "value") if m[g] is not None)
+            s, end = m.span(group)
+            quoted = group != "value" or m["open"]
+            while end > s and not quoted and text[end - 1] in ".:!?)]}":
                 end -= 1
-            value, s = text[m.start(2) : end], m.start(2)
-            mixed = any(not c.isalpha() for c in value)
-            if len(value) >= 6 and (mixed or m[1]) and not any(a < end and s < e for _, a, e in base) and guesses(value) >= price:
+            value = text[s:end]
+            # in prose ("the password is required") a plain word is no value; after a separator its price alone decides
+            given = quoted or not m["prose"] or not value.isalpha()
+            if len(value) >= 6 and given and not any(a < end and s < e for _, a, e in base) and guesses(value) >= price:
                 found.append(("password", s, end, False, value))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
