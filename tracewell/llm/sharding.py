@@ -1,4 +1,4 @@
-"""Sharding by balanced label propagation, in DataFrame functions only.
+"""Sharding by greedy quota packing of linked groups, in DataFrame functions only.
 
 Documents of one group (equal texts, in the query) are linked. Each document begins with the label that its hash gives;
 in each round the groups look up their members' labels and move as a whole to the shard where most of them are, among
