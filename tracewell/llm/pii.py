@@ -67,7 +67,8 @@ def phones(text: str) -> list[Span]:
 
 RULES = {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
-# Words for digits in the four languages, look-alike letters of Greek and Cyrillic, common ends of domains.
+# Words for digits in the four languages, look-alike letters of Greek and Cyrillic, words before "at" and after it
+# that make no address, ends of file names.
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
@@ -75,7 +76,9 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 LOOKALIKES = dict(zip("АВЕКМНОРСТХУаеорсухіјѕԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧονι", "ABEKMHOPCTXYaeopcyxijsdqwABEZHIKMNOPTYXovi", strict=True))
-ENDS = "com|org|net|edu|gov|info|io|co|dev|app|uk|us|de|fr|es|eu|ch|at|it|nl"
+NO_LOCAL = "is|are|was|were|be|been|us|me|it|them|him|her|you|here|there|look|looks|looked|looking|see|read|available|found|find|online|hosted|located|visit|more|page|site|website|documentation|docs|live|up|out|and|or|not|arrive|arrived|stay|stayed"
+NO_DOMAIN = "the|a|an|this|that|these|those|each|every|any|my|your|his|her|its|our|their"
+FILES = "py|js|ts|txt|md|csv|json|ya?ml|xml|html?|php|pdf|png|jpe?g|gif|exe|sh|java|cpp|log|sql|docx?|xlsx?|zip|gz"
 INVISIBLE = "­​‌‍⁠﻿"
 DASHES = "‐‑‒–—―−"
 
@@ -102,7 +105,14 @@ DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]{{1,3}})?(?:(?:double|triple)\s
 DIGIT_PART = re.compile(rf"(?i)plus[\s-]{{1,3}}|(double|triple)\s+({WORD}|[0-9])|(?<!\w)(?:{WORD})(?!\w)|\s*\b(?:dot|point)\s+|[\s,()-]+")
 BRACKETED = re.compile(r"(?i)\s{0,3}[\[({<]\s{0,3}(?:(at|@)|dot|\.)\s{0,3}[\])}>]\s{0,3}")
 ENTITY = re.compile(r"(?i)&(?:(#0{0,4}64|#x0{0,4}40|commat)|#0{0,4}46|#x0{0,4}2e|period);")
-SPOKEN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{{1,64}}\s{{1,3}}dot\s{{1,3}}){{0,4}}[A-Za-z0-9._%+-]{{1,64}}\s{{1,3}}at\s{{1,3}}(?:[A-Za-z0-9-]{{1,63}}\s{{1,3}}dot\s{{1,3}}){{1,5}}(?:{ENDS})(?![A-Za-z0-9])")
+# a spoken dot takes any end of two letters or more; where all dots are plain, words that often stand before a site or a file's name give no address
+SPOKEN = re.compile(
+    r"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]{1,64}\s{1,3}dot\s{1,3}){0,4}(?P<last>[A-Za-z0-9._%+-]{1,64})\s{1,3}at\s{1,3}"
+    rf"(?:(?!(?:{NO_DOMAIN})\s)(?:[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}dot\s{{1,3}}|\.)){{0,4}}[A-Za-z0-9-]{{1,63}}\s{{1,3}}dot\s{{1,3}}[A-Za-z]{{2,63}}|(?P<plain>(?:[A-Za-z0-9-]{{1,63}}\.){{1,5}}(?!(?:{FILES})(?![A-Za-z0-9]))(?-i:[a-z]{{2,63}}|[A-Z]{{2,63}})))(?![A-Za-z0-9])"
+)
+NOT_LOCAL = frozenset(NO_LOCAL.split("|"))
+SPOKEN_AT = re.compile(r"(?i)\sat\s")
+WORDS = re.compile(r"\w+")
 SPOKEN_PART = re.compile(r"(?i)\s+(at|dot)\s+")
 
 Edit = tuple[int, int, str]
@@ -131,10 +141,12 @@ def edits(text: str) -> list[Edit]:
         found += [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
     if "&" in text:
         found += [(m.start(), m.end(), "@" if m[1] else ".") for m in ENTITY.finditer(text)]
-    if "dot" in low:
+    if SPOKEN_AT.search(text):
         for m in SPOKEN.finditer(text):
+            if m["plain"] and m["last"].lower() in NOT_LOCAL:
+                continue
             found += [(p.start(), p.end(), "@" if p[1].lower() == "at" else ".") for p in SPOKEN_PART.finditer(text, m.start(), m.end())]
-    if not DIGIT_WORDS.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split()):
+    if not DIGIT_WORDS.keys().isdisjoint(WORDS.findall(low)):
         found += digit_edits(text)
     out, end = [], 0
     for e in sorted(found):
