@@ -11,6 +11,8 @@ from tracewell.llm.common import stored, table, text_key
 
 #: Share of a document's letters that its language must have at least.
 LANGUAGE_SHARE = 0.5
+#: Per cent of shared shingles from which documents are near-duplicates.
+SIMILARITY = 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates, that with the smallest id (null is the largest), and of rows that are the same in id and text."""
     row = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("text"))
     named = docs.withColumn("_row", row)
-    kept = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    kept = neardup.near_duplicates(named.select(F.col("_row").alias("doc_id"), "text"), SIMILARITY).where("kept").select(F.col("doc_id").alias("_row")).distinct()
     found = named.join(kept, named["_row"].eqNullSafe(kept["_row"]), "left_semi")
     first = F.row_number().over(Window.partitionBy("_row").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id"))
     return found.withColumn("_n", first).where("_n = 1").select(*docs.columns)
