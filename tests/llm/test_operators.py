@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -209,7 +210,7 @@ def test_windows_carry_state():
         assert got == pytest.approx(total / np.log(10), rel=1e-4)
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, similarity=85):
     sets = {}
     for i, t in rows:
         w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -224,7 +225,7 @@ def jaccard_components(rows):
     ids = sorted(sets)
     for i in ids:
         for j in ids:
-            if j < i and sets[i] and (n := len(sets[i] & sets[j])) and 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+            if j < i and sets[i] and (n := len(sets[i] & sets[j])) and 100 * n >= similarity * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in sets}
@@ -239,20 +240,68 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("family", (512, 40))
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, family):
-    monkeypatch.setattr(neardup, "FAMILY", family)
-    rng, rows = random.Random(5), []
-    base = [rng.choice(VOCAB) for _ in range(110)]
-    for k in range(110):
-        w = list(base)
+def edited(rng, base, k):
+    """Copies of base with words replaced, some from a few shared words, some cut at the end or copies of a copy."""
+    out = [list(base)]
+    for _ in range(k):
+        w = list(out[rng.randrange(len(out))]) if rng.random() < 0.3 else list(base)
         for _ in range(rng.choice((0, 1, 1, 2, 3, 4))):
-            w[rng.randrange(len(w))] = f"n{rng.random()}"
-        if rng.random() < 0.2:
-            w = w[: int(len(w) * rng.choice((0.95, 0.9, 0.86)))]
-        rows.append((k * 7 % 110, " ".join(w)))
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}" if rng.random() < 0.3 else f"n{rng.random()}"
+        if rng.random() < 0.3:
+            w = w[: int(len(w) * rng.choice((0.97, 0.95, 0.9, 0.86)))]
+        out.append(w)
+    return out[1:]
+
+
+@pytest.mark.parametrize(("small", "rounds", "similarity"), [(32, 8, 85), (4, 8, 85), (2, 8, 80), (2, 1, 85)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, rounds, similarity):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    rng = random.Random(5)
+    base = [rng.choice(VOCAB) for _ in range(110)]
+    line = [rng.choice(VOCAB) for _ in range(30)]
+    texts = edited(rng, base, 150) + [[f"u{rng.random()}" for _ in range(40)] + line for _ in range(40)]
+    rows = [(k * 7 % 190, " ".join(w)) for k, w in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity).collect()}
+    assert got == jaccard_components(rows, similarity)
+
+
+def test_large_family_gives_few_pairs(spark, monkeypatch):
+    """A family of 2,000 near copies: nearly all pairs are ruled out without being named, and the groups are those of brute force."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(2_000):
+        w = np.array(base, dtype=object)
+        at = rng.choice(150, rng.integers(0, 9), replace=False)
+        w[at] = [f"e{x}" for x in rng.integers(0, 3_000, len(at))]
+        rows.append((k, " ".join(w)))
+    named = []
+
+    def counted(pairs, full, similarity, plain=neardup.compared):
+        named.append(pairs.count())
+        return plain(pairs, full, similarity)
+
+    monkeypatch.setattr(neardup, "compared", counted)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == jaccard_components(rows)
+    assert sum(named) < 20 * len(rows)
+    sets = [set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (t.split() for _, t in rows)]
+    times = Counter(x for own in sets for x in own)
+    columns = {x: k for k, x in enumerate(x for x, n in times.items() if n > 1)}
+    has = np.zeros((len(sets), len(columns)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        has[i, [columns[x] for x in own if x in columns]] = 1
+    inter, sizes = has @ has.T, np.array([len(x) for x in sets])
+    root = list(range(len(sets)))
+    for i, j in zip(*np.nonzero(np.tril(100 * inter >= 85 * (sizes[:, None] + sizes - inter), -1)), strict=True):
+        a, b = int(i), int(j)
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    for i in range(len(root)):
+        root[i] = root[root[i]]
+    assert got == dict(enumerate(root))
 
 
 def test_substrings(docs, none):

@@ -1,16 +1,19 @@
 """Near-duplicate groups by b-bit MinHash.
 
 Documents with one set of shingles are a class from the start. Bands of minima name buckets. In a bucket, all members
-meet some chosen members, in rounds that choose four times as many each, as long as members lie in more than one component;
-a chosen member has met all others and leaves. Large buckets that have members in common choose one member that has many
-bucket mates, the hub, and are divided, if they have many members: two members, of which one isn't linked with the hub, can be linked only if they share elements
-outside the hub, by which they meet again in smaller buckets. So every pair of a bucket is tried, known to be in one
-component or ruled out, and no bucket emits all its pairs. Pairs are first judged by packed low bits of the minima, with
-a margin, then by their whole sets.
+first meet its heaviest one. Buckets that still have members in several components go on: a small one gives its pairs
+of different components. Members of large ones stay only if enough of their shingles are shared at all; those that
+have members in common choose one hub, and two members, of which one isn't linked with the hub, can be linked only if
+they share a shingle outside the hub, which is a new bucket, or if one is small and what it lacks of the hub mostly
+lacks in the other too, by which the two meet. So every pair of a bucket is tried, known to be in one component or
+ruled out by its sets, and no large bucket emits its pairs. Pairs are first judged by packed low bits of the minima,
+with a margin, then by their whole sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,10 +33,10 @@ SEED = 20_240_229
 WORD_CACHE, TEXTS = 1 << 17, 256
 #: Small Arrow batches, as texts are many times as large as what is made of them.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
-#: Members from which a bucket is large; families of large buckets go on as one bucket up to so many members, and are
-#: divided around a hub beyond. What is left of a divided family has little structure that another hub would show, so
-#: that it is divided again only from more members on.
-LARGE, FAMILY, AFTER = 32, 512, 4096
+#: Members up to which a bucket gives its pairs at once, and rounds in which larger ones are divided around hubs.
+SMALL, ROUNDS = 32, 8
+#: Ids of 8 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 _rng = np.random.default_rng(SEED)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,34 +163,152 @@ def compared(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return sized.withColumn("linked", 100 * F.col("inter") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("inter")))
 
 
-def divided(hubs: DataFrame, similarity: int) -> DataFrame:
-    """Smaller buckets (key, node) in place of large ones, of which every member a has met its hub b.
+def split(keyed: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(key, node, c) of the keys whose nodes lie in several components c, with the number of nodes of the key."""
+    if comp is None:
+        named = keyed.withColumn("c", F.col("node"))
+    else:
+        named = keyed.join(comp.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m"), F.count(F.lit(1)).alias("size")).where("l < m").select("key", "size")
+    return named.join(several, "key")
+
+
+def shared_enough(keyed: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """The rows of keyed (key, node) whose nodes share, one by one, as many shingles with any others as a link takes.
+
+    A link takes |i & j| >= similarity / 100 * |i | j|, so that at least this share of i's shingles is in another set.
+    """
+    sets_ = full.join(keyed.select("node").distinct(), "node").dropDuplicates(["node"])
+    each = stored(sets_.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("x")))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("x")
+    enough = stored(each.join(often, "x").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where(100 * F.col("shared") >= similarity * F.col("n")).select("node"))
+    out = stored(keyed.join(enough, "node").select("key", "node"))
+    dropped(each)
+    dropped(enough)
+    return out
+
+
+def families(large: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Every node of large (key, node, size) but the hubs: (a, b, n_a, n_b, linked, extra, missing), b its hub.
+
+    Buckets with members in common are one family; its hub is the member with most mates.
+    """
+    centre = large.groupBy("key").agg(F.min("node").alias("b"))
+    edges = large.join(centre, "key").select(F.col("node").alias("a"), "b").distinct()
+    named = components(edges)
+    mates = large.groupBy("node").agg(F.sum("size").alias("weight"))
+    family = stored(named.join(mates, "node").select("node", "comp", "weight"))
+    dropped(named)
+    best = F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("r")
+    hub = family.groupBy("comp").agg(best).select(F.col("comp").alias("c"), F.col("r.node").alias("b"))
+    around = family.join(hub, F.col("comp") == F.col("c")).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+    out = stored(compared(around, full, similarity).select("a", "b", "n_a", "n_b", "linked", F.array_except("s_a", "s_b").alias("extra"), F.array_except("s_b", "s_a").alias("missing")).dropDuplicates(["a"]))
+    dropped(family)
+    return out
+
+
+def outside(hubs: DataFrame) -> DataFrame:
+    """New buckets (key, node): nodes of a family that share a shingle outside its hub, with one that isn't linked with the hub."""
+    each = hubs.select(F.col("a").alias("node"), "b", "linked", F.explode("extra").alias("x")).select("node", "linked", F.xxhash64("b", "x").alias("key"))
+    asked = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("asks")).where("n > 1 and asks").select("key")
+    return each.join(asked, "key").select("key", "node")
+
 
-    With share = similarity / (100 + similarity), sets i and j are linked if |i & j| >= share * (|i| + |j|). Let i be not
-    linked with the hub. What i and j share inside the hub is at most |i & hub|, so that at least
-    need = share * (|i| + |j|) - |i & hub| more elements are common to both and outside the hub. For |j| >= |hub| that is
-    above 0, as i is not linked with the hub. So j has one of the rarest |i - hub| - need + 1 elements of i outside the
-    hub, need being taken for the smallest j there can be and as 1 at least; each such element is a new bucket. For
-    smaller j, need may be 0 or less: those with |j| <= |i & hub| / share - |i| are a further bucket, with all i that
-    allow one.
+def inside(hubs: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) that may be linked without a common shingle outside their hub, the first or second not linked with it.
+
+    Let X be what a node has beyond its hub H, M what it lacks of it, D = |X| + |M|, t = (100 - s) / (100 + s) for the
+    similarity s, and g = D - t * |node|. Nodes i and j are linked if |i ^ j| <= t * (|i| + |j|), that is if
+    |Xi & Xj| + |Mi & Mj| >= (gi + gj) / 2. With Xi and Xj disjoint, |Mi & Mj| <= |Mj| gives
+    gi <= 2 * |Mj| - gj = |H| - (1 - t) * |j|, and the same with i and j exchanged. If i isn't linked with H, gi is above
+    t * |H|, so that j is smaller than H. Of Mj, any |Mj| - need + 1 shingles have one of Mi, need being (g + gj) / 2 for
+    the least g of a node that isn't linked with H; those are taken that the fewest such nodes lack.
     """
-    share = similarity / (100 + similarity)
-    most = F.when(~F.col("linked"), F.floor(F.col("inter") / share - F.col("n_a") + 1e-9))
-    bounds = hubs.withColumn("most", most).groupBy("b").agg(F.least(F.min("n_a"), F.min("n_b")).alias("least"), F.max("most").alias("most_of_all"))
-    hubs = stored(hubs.withColumn("most", most).join(bounds, "b"))
-    need = F.ceil(share * (F.col("n_a") + F.greatest(F.col("least"), F.ceil(F.col("n_a") * similarity / 100))) - F.col("inter") - 1e-9)
-    deep = F.when(F.col("linked"), 0).otherwise(F.size("extra") - F.greatest(need, F.lit(1)) + 1)
-    each = hubs.select("a", "b", deep.alias("deep"), F.size("extra").alias("own"), F.explode("extra").alias("x"))
-    often = each.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = each.join(often, ["b", "x"])
-    inside = Window.partitionBy("a", "b")
-    place = F.col("own") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("n", "x"))
-    marked = stored(shared.select("a", F.xxhash64("b", "x").alias("key"), (place <= F.col("deep")).alias("asks")))
-    asked = marked.groupBy("key").agg(F.max("asks").alias("asks")).where("asks").select("key")
-    outside = marked.join(asked, "key").select("key", F.col("a").alias("node"))
-    inner = hubs.where((F.col("least") <= F.col("most_of_all")) & (F.col("least") < F.col("n_b")))
-    inner = inner.where((F.col("most") >= F.col("least")) | ((F.col("n_a") <= F.col("most_of_all")) & (F.col("n_a") < F.col("n_b"))))
-    return outside.union(inner.select(F.xxhash64("b", F.lit("smaller")).alias("key"), F.col("a").alias("node"))).distinct()
+    t, some = (100 - similarity) / (100 + similarity), 1e-6
+    sized = hubs.withColumn("g", F.size("extra") + F.size("missing") - t * F.col("n_a")).withColumn("most", F.col("n_b") - (1 - t) * F.col("n_a") + some)
+    least = sized.where(~F.col("linked")).groupBy("b").agg(F.min("g").alias("least"))
+    length = F.size("missing") - F.greatest(F.lit(1), F.ceil((F.col("least") + F.col("g")) / 2 - some)) + 1
+    small = stored(sized.join(least, "b").where("least <= most").withColumn("length", length).where("length > 0").select("a", "b", "g", "most", "missing", "length"))
+    which = small.groupBy("b").agg(F.min("g").alias("g_least"), F.max("most").alias("most_of_all"))
+    lacking = sized.where(~F.col("linked")).join(which, "b").where("g <= most_of_all and g_least <= most")
+    lacks = stored(lacking.select("b", F.explode("missing").alias("x"), F.col("a").alias("i"), F.col("g").alias("g_i"), F.col("most").alias("most_i")))
+    often = lacks.groupBy("b", "x").agg(F.count(F.lit(1)).alias("n"))
+    each = small.select("a", "b", "g", "most", "length", F.explode("missing").alias("x")).join(often, ["b", "x"], "left")
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("n", F.lit(0)), "x"))
+    asked = each.withColumn("place", place).where("place <= length and n is not null").select(F.col("b").alias("h"), F.col("x").alias("y"), F.col("a").alias("j"), "g", "most")
+    met = asked.join(lacks, (F.col("h") == F.col("b")) & (F.col("y") == F.col("x")) & (F.col("g_i") <= F.col("most")) & (F.col("g") <= F.col("most_i")) & (F.col("i") != F.col("j")))
+    out = stored(met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct())
+    dropped(small)
+    dropped(lacks)
+    return out
+
+
+def crossing(keyed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of one key that lie in different components."""
+    two = keyed.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("c").alias("d"))
+    return keyed.join(two, (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("c") != F.col("d"))).select(F.col("node").alias("a"), "b")
+
+
+def component_frame(firsts: DataFrame, docs: DataFrame, similarity: int) -> DataFrame | None:
+    """node and comp of all nodes that have links; None if no band has two nodes. firsts: node, first, n_shingles, bands, low."""
+    each = firsts.select("node", F.explode("bands").alias("key"))
+    shared = each.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("m"), F.count(F.lit(1)).alias("size")).where("l < m").select("key", "size")
+    live = stored(each.join(shared, "key").select("key", "node", "size").distinct())
+    if live.isEmpty():
+        return None
+    wanted = live.groupBy("node").agg(F.sum("size").alias("weight"))
+    sigs = stored(firsts.join(wanted, "node").select("node", "first", "n_shingles", "low", "weight").dropDuplicates(["node"]))
+    ids = sigs.select(F.col("first").alias("doc_id")).distinct()
+    few = sigs.count() <= BROADCAST_IDS
+    full = stored(sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")), conf=BATCHES)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        one, two = (sigs.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("low").alias(f"low_{c}")) for c in ("a", "b"))
+        likely = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).where(estimate(F.col("low_a"), F.col("low_b")) >= similarity / 100 - MARGIN)
+        likely = stored(likely.select("a", "b"))
+        out = stored(compared(likely, full, similarity).where("linked").select("a", "b"))
+        dropped(likely)
+        return out
+
+    heaviest = F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("r")
+    weighed = live.join(sigs.select("node", "weight"), "node")
+    star = weighed.groupBy("key").agg(heaviest).select("key", F.col("r.node").alias("rep"))
+    met = live.join(star, "key").where(F.col("node") != F.col("rep"))
+    links = [judged(met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())]
+    comp = components(links[0])
+    keyed = live
+    for k in range(ROUNDS + 1):
+        now = stored(split(keyed.select("key", "node"), comp))
+        dropped(keyed)
+        large = now.where(F.col("size") > SMALL).select("key", "node")
+        pairs, after = crossing(now.where(F.col("size") <= SMALL)), None
+        gone = [now]
+        if not large.isEmpty():
+            thinned = shared_enough(large, full, similarity)
+            again = stored(split(thinned, comp))
+            dropped(thinned)
+            gone.append(again)
+            pairs = pairs.union(crossing(again.where(F.col("size") <= SMALL)))
+            wide = again.where(F.col("size") > SMALL)
+            if k == ROUNDS:
+                pairs = pairs.union(crossing(wide))
+            elif not wide.isEmpty():
+                hubs = families(wide, full, similarity)
+                links.append(stored(hubs.where("linked").select("a", "b")))
+                lacking = inside(hubs, similarity)
+                after = stored(outside(hubs))
+                pairs = pairs.union(lacking)
+                gone += [hubs, lacking]
+        links.append(judged(pairs.distinct()))
+        for old in (*gone, comp):
+            dropped(old)
+        comp = components(reduce(DataFrame.union, links))
+        if after is None:
+            break
+        keyed = after
+    for old in (*links, sigs, full):
+        dropped(old)
+    return comp
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -197,76 +318,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Documents without words, or without doc_id, are linked with nothing: their component is their own id, and they are
     kept. Rows repeat as in docs; rows that share a doc_id are told apart by their texts.
     """
-    found = stored(sketches(docs.select("doc_id", "text")), conf=BATCHES)
+    docs = docs.select("doc_id", "text")
+    found = stored(sketches(docs), conf=BATCHES)
     linkable = found.where("node is not null and doc_id is not null")
     classes = stored(linkable.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("size")))
     firsts = linkable.join(classes, (linkable["node"] == classes["node"]) & (linkable["doc_id"] == classes["first"])).select(linkable["node"], "first", "n_shingles", "bands", "low")
-    each = firsts.select("node", F.explode("bands").alias("key"))
-    shared = each.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l < m").select("key")
-    live = stored(each.join(shared, "key").distinct().withColumn("whole", F.lit(False)))
-    wanted = live.select("node").distinct()
-    sigs = stored(firsts.join(wanted, "node").select("node", "first", "n_shingles", "low").dropDuplicates(["node"]))
-    ids = sigs.select(F.col("first").alias("doc_id")).distinct()
-    few = sigs.count() <= 4_000_000  # ids of 8 bytes are broadcast up to this number
-    full = stored(sets(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")), conf=BATCHES)
-    sig = sigs.select("node", "n_shingles", "low")
-    weights = live.join(live.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    weights = stored(weights)
-    links = tried = comp = None
-    chosen = 1
-    while not live.isEmpty():
-        sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        sized = stored(live.join(weights, "node").join(sizes, "key").select("key", "node", "weight", "size", "whole", ((F.col("size") > LARGE) & ~F.col("whole")).alias("large")))
-        slot = F.pmod(F.xxhash64("node", F.lit(chosen)), F.lit(chosen))
-        best = F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("r")
-        reps = stored(sized.where(~F.col("large")).groupBy("key", slot.alias("slot")).agg(best).select("key", F.col("r.node").alias("rep")))
-        small = sized.join(reps.select(F.col("key").alias("rk"), "rep"), F.col("key") == F.col("rk")).where(F.col("node") != F.col("rep"))
-        if comp is not None:
-            a, b = comp.select(F.col("node").alias("na"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("nb"), F.col("comp").alias("cb"))
-            small = small.join(a, F.col("node") == F.col("na"), "left").join(b, F.col("rep") == F.col("nb"), "left").where(F.coalesce("ca", "node") != F.coalesce("cb", "rep"))
-        pairs = small.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        one, two = sig.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("low").alias("low_a")), sig.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("low").alias("low_b"))
-        likely = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).where(estimate(F.col("low_a"), F.col("low_b")) >= similarity / 100 - MARGIN)
-        likely = stored(likely.select("a", "b"))
-        judged = stored(compared(likely, full, similarity).select("a", "b", "linked"))
-        tried = judged.select("a", "b") if tried is None else tried.union(judged.select("a", "b"))
-        new = judged.where("linked").select("a", "b")
-        parts = None
-        # a bucket's members are linked by its least node; buckets of a family mostly share theirs
-        centre = sized.where("large").groupBy("key").agg(F.min("node").alias("b"))
-        large = stored(sized.where("large").join(centre, "key").select(F.col("node").alias("a"), "b").distinct())
-        if not large.isEmpty():
-            # large buckets with members in common are one family with one hub
-            mates = sized.where("large").groupBy("node").agg(F.sum("size").alias("weight"))
-            family = components(large).join(mates, "node").select("node", "comp", "weight")
-            wide = F.count(F.lit(1)) > (FAMILY if chosen == 1 else AFTER)
-            family = stored(family.join(family.groupBy("comp").agg(wide.alias("wide")), "comp"))
-            one_bucket = family.where(~F.col("wide")).select(F.xxhash64("comp").alias("key"), "node", F.lit(True).alias("whole"))
-            family = family.where("wide")
-            hub = family.groupBy("comp").agg(best).select(F.col("comp").alias("c"), F.col("r.node").alias("b"))
-            around = stored(family.join(hub, F.col("comp") == F.col("c")).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b"))
-            hubs = stored(compared(around, full, similarity).select("a", "b", "n_a", "n_b", "inter", "linked", F.array_except("s_a", "s_b").alias("extra")))
-            new = new.union(hubs.where("linked").select("a", "b"))
-            parts = one_bucket.union(divided(hubs, similarity).withColumn("whole", F.lit(False)))
-        new = stored(new)
-        links = new if links is None else links.union(new)
-        if comp is None or not new.isEmpty():
-            comp = components(links)
-        rest = sized.where(~F.col("large")).join(reps, (sized["key"] == reps["key"]) & (sized["node"] == reps["rep"]), "left_anti").select("key", "node", "whole")
-        rest = rest if parts is None else rest.union(parts)
-        named = rest.join(comp.select(F.col("node").alias("na"), "comp"), F.col("node") == F.col("na"), "left").select("key", "node", "whole", F.coalesce("comp", "node").alias("c"))
-        split = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m")).where("l < m").select("key")
-        before, live = live, stored(named.join(split, "key").select("key", "node", "whole"))
-        for old in (before, sized, reps, likely):
-            dropped(old)
-        chosen *= 4
-    named = classes if comp is None else classes.join(comp, "node", "left")
-    group = classes.select("node", "first", "size").withColumn("c", F.col("node")) if comp is None else named.select("node", "first", "size", F.coalesce("comp", "node").alias("c"))
+    comp = component_frame(firsts, docs, similarity)
+    group = classes.select("node", "first", "size", F.col("node").alias("c")) if comp is None else classes.join(comp, "node", "left").select("node", "first", "size", F.coalesce("comp", "node").alias("c"))
     least = group.groupBy("c").agg(F.min("first").alias("component"), F.sum("size").alias("docs")).where("docs > 1")
-    to = stored(group.join(least, "c").select("node", "component"))
-    to = to.select(F.col("node").alias("_node"), "component")
+    to = stored(group.join(least, "c").select(F.col("node").alias("_node"), "component"))
+    for old in (classes, comp):
+        if old is not None:
+            dropped(old)
     out = found.select("doc_id", "n_shingles", "node").join(to, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
