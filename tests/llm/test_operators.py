@@ -253,7 +253,7 @@ def edited(rng, base, k):
     return out[1:]
 
 
-@pytest.mark.parametrize(("small", "rounds", "similarity"), [(32, 8, 85), (4, 8, 85), (2, 8, 80), (2, 1, 85)])
+@pytest.mark.parametrize(("small", "rounds", "similarity"), [(4, 8, 85), (2, 8, 80), (2, 1, 85)])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, rounds, similarity):
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "ROUNDS", rounds)

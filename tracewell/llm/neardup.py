@@ -163,44 +163,42 @@ def compared(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     return sized.withColumn("linked", 100 * F.col("inter") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("inter")))
 
 
-def split(keyed: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(key, node, c) of the keys whose nodes lie in several components c, with the number of nodes of the key."""
-    if comp is None:
-        named = keyed.withColumn("c", F.col("node"))
-    else:
-        named = keyed.join(comp.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
-    several = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m"), F.count(F.lit(1)).alias("size")).where("l < m").select("key", "size")
-    return named.join(several, "key")
+def split(keyed: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, node, c, size) of the keys whose nodes lie in several components c; keys that have the same nodes are one."""
+    named = keyed.join(comp.select(F.col("node").alias("_n"), "comp"), F.col("node") == F.col("_n"), "left").select("key", "node", F.coalesce("comp", "node").alias("c"))
+    by = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    several = named.groupBy("key").agg(F.min("c").alias("l"), F.max("c").alias("m"), F.count(F.lit(1)).alias("size"), *by).where("l < m")
+    return named.join(several.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key", "size"), "key")
 
 
 def shared_enough(keyed: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """The rows of keyed (key, node) whose nodes share, one by one, as many shingles with any others as a link takes.
+    """(node, n, mass) of the nodes of keyed that share, one by one, as many shingles with any others as a link takes.
 
-    A link takes |i & j| >= similarity / 100 * |i | j|, so that at least this share of i's shingles is in another set.
+    A link takes |i & j| >= similarity / 100 * |i | j|, so that at least this share of i's n shingles is in another set.
+    mass is how often the shingles of a node are in any of the sets.
     """
     sets_ = full.join(keyed.select("node").distinct(), "node").dropDuplicates(["node"])
     each = stored(sets_.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("x")))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1").select("x")
-    enough = stored(each.join(often, "x").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared")).where(100 * F.col("shared") >= similarity * F.col("n")).select("node"))
-    out = stored(keyed.join(enough, "node").select("key", "node"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    sums = each.join(often, "x").groupBy("node", "n").agg(F.count(F.lit(1)).alias("shared"), F.sum("often").alias("mass"))
+    out = stored(sums.where(100 * F.col("shared") >= similarity * F.col("n")).select("node", "n", (F.col("mass") + F.col("n") - F.col("shared")).alias("mass")))
     dropped(each)
-    dropped(enough)
     return out
 
 
-def families(large: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Every node of large (key, node, size) but the hubs: (a, b, n_a, n_b, linked, extra, missing), b its hub.
+def families(large: DataFrame, mass: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Every node of large (key, node) but the hubs: (a, b, n_a, n_b, linked, extra, missing), b its hub.
 
-    Buckets with members in common are one family; its hub is the member with most mates.
+    Buckets with members in common are one family; its hub is the member that has most of the shingles that most members
+    have and fewest others, so that the sets differ little from it in all.
     """
     centre = large.groupBy("key").agg(F.min("node").alias("b"))
-    edges = large.join(centre, "key").select(F.col("node").alias("a"), "b").distinct()
-    named = components(edges)
-    mates = large.groupBy("node").agg(F.sum("size").alias("weight"))
-    family = stored(named.join(mates, "node").select("node", "comp", "weight"))
+    named = components(large.join(centre, "key").select(F.col("node").alias("a"), "b").distinct())
+    family = stored(named.join(mass, "node").select("node", "comp", "n", "mass"))
     dropped(named)
-    best = F.max(F.struct("weight", F.xxhash64("node").alias("o"), "node")).alias("r")
-    hub = family.groupBy("comp").agg(best).select(F.col("comp").alias("c"), F.col("r.node").alias("b"))
+    sizes = family.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    best = F.max(F.struct((2 * F.col("mass") - F.col("m") * F.col("n")).alias("near"), "node")).alias("r")
+    hub = family.join(sizes, "comp").groupBy("comp").agg(best).select(F.col("comp").alias("c"), F.col("r.node").alias("b"))
     around = family.join(hub, F.col("comp") == F.col("c")).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
     out = stored(compared(around, full, similarity).select("a", "b", "n_a", "n_b", "linked", F.array_except("s_a", "s_b").alias("extra"), F.array_except("s_b", "s_a").alias("missing")).dropDuplicates(["a"]))
     dropped(family)
@@ -284,16 +282,15 @@ def component_frame(firsts: DataFrame, docs: DataFrame, similarity: int) -> Data
         pairs, after = crossing(now.where(F.col("size") <= SMALL)), None
         gone = [now]
         if not large.isEmpty():
-            thinned = shared_enough(large, full, similarity)
-            again = stored(split(thinned, comp))
-            dropped(thinned)
-            gone.append(again)
+            mass = shared_enough(large, full, similarity)
+            again = stored(split(large.join(mass.select("node"), "node"), comp))
+            gone += [mass, again]
             pairs = pairs.union(crossing(again.where(F.col("size") <= SMALL)))
             wide = again.where(F.col("size") > SMALL)
             if k == ROUNDS:
                 pairs = pairs.union(crossing(wide))
             elif not wide.isEmpty():
-                hubs = families(wide, full, similarity)
+                hubs = families(wide.select("key", "node"), mass, full, similarity)
                 links.append(stored(hubs.where("linked").select("a", "b")))
                 lacking = inside(hubs, similarity)
                 after = stored(outside(hubs))
