@@ -185,7 +185,7 @@ def test_gradients_equal_differences():
     model.start(np.ones(100))
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     rng = np.random.default_rng(0)
-    x, y, h = rng.integers(0, 100, (6, 4)), rng.integers(0, 100, (6, 4)), rng.standard_normal((4, 5)) * 0.3
+    x, y, h = rng.integers(0, 100, (6, 4)), rng.integers(0, 100, (6, 4)), rng.standard_normal((5, 4)) * 0.3
     d, _, _ = model.gradients(x, y, h)
     for k, v in model.p.items():
         flat, i = v.ravel(), int(np.abs(d[k]).argmax())
@@ -201,15 +201,23 @@ def test_windows_carry_state():
     model, rng = lm.GatedModel(300), np.random.default_rng(1)
     seqs = [rng.integers(0, 300, n) for n in (1, 63, 64, 65, 200)]
     whole = model.score(seqs, 1)
-    h = model.step(model.p["E"][[1]], np.zeros((1, lm.HIDDEN), dtype=np.float32))[0]
+    start = model.step(model.p["E"][[1]].T, np.zeros((lm.HIDDEN, 1), dtype=np.float32))[0]
     for s, got in zip(seqs, whole, strict=True):
-        state, total = h, 0.0
+        state, total = start, 0.0
         for w in s:
-            total += model.log_probs(state, np.array([w]))[0]
-            state = model.step(model.p["E"][[w]], state)[0]
+            total += model.log_probs(state.T, np.array([w]))[0]
+            state = model.step(model.p["E"][[w]].T, state)[0]
         assert got == pytest.approx(total / np.log(10), rel=1e-4)
 
 
+def test_probabilities_sum_to_one():
+    model = lm.GatedModel(60, edges=lm.edges_of(1000.0 / np.arange(1, 61)))
+    model.start(1000.0 / np.arange(1, 61))
+    h = np.repeat(np.random.default_rng(2).standard_normal((1, lm.HIDDEN)).astype(np.float32), 60, axis=0)
+    assert np.exp(model.log_probs(h, np.arange(60))).sum() == pytest.approx(1, rel=1e-4)
+    assert sorted(np.diff(model.edges)) == np.diff(model.edges).tolist()
+
+
 def jaccard_components(rows, similarity=85):
     sets = {}
     for i, t in rows:

@@ -27,124 +27,163 @@ END = " "
 VOCABULARY, FREQUENT = 2024, 131_072
 HIDDEN = 16
 #: Training: lanes at least and at most, tokens of a lane in a block, window, tokens that a small corpus is repeated for, passes at most, step size.
-LANES, MOST_LANES, STRETCH, WINDOW, ENOUGH, EPOCHS, RATE = 32, 256, 512, 16, 1_600_000, 4, 0.02
+LANES, MOST_LANES, STRETCH, WINDOW, ENOUGH, EPOCHS, RATE = 32, 1024, 512, 16, 1_600_000, 4, 0.1
 #: Rounds of a pass, each over its own documents and followed by an average; roots of training tokens for each shard; numbers in a row of weights.
 ROUNDS, ROOTS, SLICE = 3, 240, 8_192
 SEED = 7
 FLUSH = 400_000
-PORTION = 3_000_000
+#: Texts and bytes of texts that are scored side by side at most.
+TEXTS, PORTION = 2_500, 10_000_000
 STEPS = 64
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.clip(x, -30, 30)
+    np.negative(out, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def edges_of(counts: np.ndarray) -> np.ndarray:
+    """Where classes of words begin: equal parts of the sum of the counts' roots, about half the root of the words many."""
+    sums = np.cumsum(np.sqrt(counts + 1.0))
+    parts = max(1, math.isqrt(len(counts)) // 2)
+    return np.unique([0, *(np.searchsorted(sums, sums[-1] * k / parts) + 1 for k in range(1, parts)), len(counts)])
 
 
 class GatedModel:
-    """vocabulary numbers in frequency order are in classes of about the root of the vocabulary each."""
+    """Words have numbers; those from edges[c] to edges[c + 1] are a class, frequent words being in small classes.
 
-    def __init__(self, size: int, seed: int = SEED, hidden: int = HIDDEN):
+    States and inputs of steps are (features, lanes), so that gates lie side by side in memory.
+    """
+
+    def __init__(self, size: int, seed: int = SEED, hidden: int = HIDDEN, edges: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
-        self.size, self.hidden, self.width = size, hidden, math.isqrt(size - 1) + 1
-        self.classes = -(-size // self.width)
+        self.size, self.hidden = size, hidden
+        self.edges = edges_of(np.ones(size)) if edges is None else edges
+        self.classes = len(self.edges) - 1
+        self.class_of = np.repeat(np.arange(self.classes), np.diff(self.edges))
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": f(hidden, self.classes), "bc": f(self.classes) * 0, "Wo": f(self.classes, hidden, self.width), "bo": np.zeros((self.classes, self.width), dtype=np.float32)}
-        self.p["bo"][-1, size - (self.classes - 1) * self.width :] = -1e9  # the last class may have fewer words
+        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": f(hidden, self.classes), "bc": f(self.classes) * 0, "Wo": f(size, hidden), "bo": f(size) * 0}
 
     def start(self, counts: np.ndarray) -> None:
         """Output biases by counts of the vocabulary."""
-        logs = np.full(self.classes * self.width, -1e9, dtype=np.float64)
-        logs[: self.size] = np.log(counts + 1.0)
-        by_class = logs.reshape(self.classes, self.width)
-        top = by_class.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(by_class - top).sum(axis=1))
-        self.p["bo"] = (by_class - total[:, None]).astype(np.float32)
+        logs = np.log(counts + 1.0)
+        total = np.logaddexp.reduceat(logs, self.edges[:-1])
+        self.p["bo"] = (logs - total[self.class_of]).astype(np.float32)
         self.p["bc"] = (total - total.max()).astype(np.float32)
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        n, g = self.hidden, h @ self.p["U"]
-        gates = sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return c + z * (h - c), z, r, c, g[:, 2 * n :]
+        n = self.hidden
+        g = self.p["U"].T @ h
+        gates = sigmoid(x[: 2 * n] + g[: 2 * n])
+        z, r = gates[:n], gates[n:]
+        c = np.tanh(x[2 * n :] + r * g[2 * n :])
+        return c + z * (h - c), z, r, c, g[2 * n :]
+
+    def first(self, end: int) -> np.ndarray:
+        """The state after an end, (features, 1)."""
+        return self.step(self.p["E"][[end]].T, np.zeros((self.hidden, 1), dtype=np.float32))[0]
+
+    def by_class(self, ys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of ys by class, and for each class of several words that is there: its first and last word, and first and last place in the order."""
+        cls = self.class_of[ys]
+        order = np.argsort(cls.astype(np.uint16) if self.classes < 65_536 else cls, kind="stable")
+        there, at = np.unique(cls[order], return_index=True)
+        edges = self.edges
+        return order, [(int(edges[c]), int(edges[c + 1]), int(i), int(j)) for c, i, j in zip(there, at, [*at[1:], len(order)], strict=True) if edges[c + 1] - edges[c] > 1]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each next word after each state."""
-        cls, place = y // self.width, y % self.width
-        a = h @ self.p["Wc"] + self.p["bc"]
+        """Natural log of the probability of each next word after each state; h is (words, features)."""
+        a = h @ self.p["Wc"]
+        a += self.p["bc"]
         a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(y)), cls]
+        out = a[np.arange(len(y)), self.class_of[y]]
         out -= np.log(np.exp(a, out=a).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if edges[c] < edges[c + 1]:
-                i = order[edges[c] : edges[c + 1]]
-                b = h[i] @ self.p["Wo"][c] + self.p["bo"][c]
-                b -= b.max(axis=1, keepdims=True)
-                out[i] += b[np.arange(len(i)), place[i]] - np.log(np.exp(b).sum(axis=1))
+        order, spans = self.by_class(y)
+        hi, word = h[order], y[order]
+        own = np.zeros(len(y), dtype=out.dtype)
+        for first, last, i, j in spans:
+            b = hi[i:j] @ self.p["Wo"][first:last].T
+            b += self.p["bo"][first:last]
+            b -= b.max(axis=1, keepdims=True)
+            own[i:j] = b[np.arange(j - i), word[i:j] - first] - np.log(np.exp(b, out=b).sum(axis=1))
+        out[order] += own
         return out
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss of one window (steps, lanes), each with the rows it has (None for all); y < 0 is not counted.
 
-        Also the state after the window and the loss.
+        Also the state after the window and the loss. h is (features, lanes).
         """
         p, n = self.p, self.hidden
-        steps, kept, states, inputs = len(x), [], [], p["E"][x]
+        steps, kept = len(x), []
+        inputs = np.ascontiguousarray(p["E"][x].transpose(0, 2, 1))
+        states = np.empty((steps, n, x.shape[1]), dtype=inputs.dtype)
         for t in range(steps):
             before = h
             h, z, r, c, g = self.step(inputs[t], h)
             kept.append((before, z, r, c, g))
-            states.append(h)
-        hs, ys = np.concatenate(states), y.ravel()
+            states[t] = h
+        hs, ys = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, n), y.ravel()
         on = ys >= 0
         count = max(1, int(on.sum()))
-        cls, place = np.maximum(ys, 0) // self.width, np.maximum(ys, 0) % self.width
-        a = hs @ p["Wc"] + p["bc"]
+        ys = np.maximum(ys, 0)
+        own = (np.arange(len(ys)), self.class_of[ys])
+        a = hs @ p["Wc"]
+        a += p["bc"]
         a -= a.max(axis=1, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=1, keepdims=True)
-        loss = -float(np.log(a[np.arange(len(ys)), cls] + 1e-12)[on].sum())
-        a[np.arange(len(ys)), cls] -= 1
-        a *= (on / count).astype(a.dtype)[:, None]
+        sums = a.sum(axis=1)
+        loss = -float(np.log(a[own] / sums + 1e-12)[on].sum())
+        share = (on / count).astype(a.dtype)
+        a *= (share / sums)[:, None]
+        a[own] -= share
         d = {"Wc": (None, hs.T @ a), "bc": (None, a.sum(axis=0))}
         dh_out = a @ p["Wc"].T
-        order = np.flatnonzero(on)
-        order = order[np.argsort(cls[order], kind="stable")]
-        there, first = np.unique(cls[order], return_index=True)
-        wo, bo = np.empty((len(there), *p["Wo"].shape[1:]), p["Wo"].dtype), np.empty((len(there), self.width), p["bo"].dtype)
-        for k, (c, start, stop) in enumerate(zip(there, first, [*first[1:], len(order)], strict=True)):
-            i = order[start:stop]
-            hi = hs[i]
-            b = hi @ p["Wo"][c] + p["bo"][c]
+        places = np.flatnonzero(on)
+        order, spans = self.by_class(ys[places])
+        order = places[order]
+        hi, word = hs[order], ys[order]
+        dh_own, wo, bo = np.zeros_like(hi), [], []
+        for first, last, i, j in spans:
+            w = p["Wo"][first:last]
+            b = hi[i:j] @ w.T
+            b += p["bo"][first:last]
             b -= b.max(axis=1, keepdims=True)
             np.exp(b, out=b)
-            b /= b.sum(axis=1, keepdims=True)
-            own = (np.arange(len(i)), place[i])
-            loss -= float(np.log(b[own] + 1e-12).sum())
-            b[own] -= 1
-            b /= count
-            wo[k], bo[k] = hi.T @ b, b.sum(axis=0)
-            dh_out[i] += b @ p["Wo"][c].T
-        d |= {"Wo": (there, wo), "bo": (there, bo)}
-        dh_out = dh_out.reshape(steps, -1, n)
+            sums, at = b.sum(axis=1), (np.arange(j - i), word[i:j] - first)
+            loss -= float(np.log(b[at] / sums + 1e-12).sum())
+            b *= (1 / (sums * count))[:, None]
+            b[at] -= 1 / count
+            wo.append(b.T @ hi[i:j])
+            bo.append(b.sum(axis=0))
+            np.matmul(b, w, out=dh_own[i:j])
+        if spans:
+            rows = np.concatenate([np.arange(first, last) for first, last, _, _ in spans])
+            d |= {"Wo": (rows, np.concatenate(wo)), "bo": (rows, np.concatenate(bo))}
+        dh_out[order] += dh_own
+        dh_out = np.ascontiguousarray(dh_out.reshape(steps, -1, n).transpose(0, 2, 1))
         dh, du = np.zeros_like(h), np.zeros_like(p["U"])
         dxs = np.empty(inputs.shape, inputs.dtype)
         for t in reversed(range(steps)):
             before, z, r, c, g = kept[t]
             dh = dh + dh_out[t]
-            dc = dh * (1 - z) * (1 - c * c)
             dx = dxs[t]
-            dx[:, :n], dx[:, n : 2 * n], dx[:, 2 * n :] = dh * (before - c) * z * (1 - z), dc * g * r * (1 - r), dc
+            dz, dr, dc = dx[:n], dx[n : 2 * n], dx[2 * n :]
+            np.multiply(dh * (1 - z), 1 - c * c, out=dc)
+            np.multiply(dh * (before - c), z * (1 - z), out=dz)
+            np.multiply(dc * g, r * (1 - r), out=dr)
             dg = dx.copy()
-            dg[:, 2 * n :] *= r
-            du += before.T @ dg
-            dh = dh * z + dg @ p["U"].T
+            dg[2 * n :] *= r
+            du += before @ dg.T
+            dh = dh * z + p["U"] @ dg
         xs = x.ravel()
-        order = np.argsort(xs, kind="stable")
+        order = np.argsort(xs.astype(np.uint16) if self.size <= 65_536 else xs, kind="stable")
         rows, first = np.unique(xs[order], return_index=True)
-        d |= {"U": (None, du), "E": (rows, np.add.reduceat(dxs.reshape(len(xs), -1)[order], first))}
+        flat = np.ascontiguousarray(dxs.transpose(0, 2, 1)).reshape(len(xs), -1)
+        d |= {"U": (None, du), "E": (rows, np.add.reduceat(flat[order], first))}
         return d, h, loss / count
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -167,7 +206,7 @@ class GatedModel:
             y = np.full(most * lanes, -1, dtype=np.int64)
             y[: len(flat)] = flat
             x = np.concatenate([[before], np.maximum(y[:-1], 0)]).reshape(lanes, most).T
-            y, h = y.reshape(lanes, most).T, np.zeros((lanes, self.hidden), dtype=np.float32)
+            y, h = y.reshape(lanes, most).T, np.zeros((self.hidden, lanes), dtype=np.float32)
             for t in range(0, most, WINDOW):
                 d, h, _ = self.window(x[t : t + WINDOW], y[t : t + WINDOW], h)
                 for k, (rows, g) in d.items():
@@ -176,7 +215,7 @@ class GatedModel:
                     q = square[k][at] + g * g
                     square[k][at] = q
                     self.p[k][at] -= RATE * g / np.sqrt(q)
-            np.add.at(seen, flat, 1)
+            np.add(seen, np.bincount(flat, minlength=self.size), out=seen)
 
         held, n = [], 0
         for doc in docs:
@@ -195,31 +234,31 @@ class GatedModel:
 
     def shares(self, seen: np.ndarray) -> dict[str, np.ndarray | float]:
         """What a shard's weights count in an average, by how often it learned each word."""
-        padded = np.zeros(self.classes * self.width)
-        padded[: self.size] = seen
-        by_class, total = padded.reshape(self.classes, self.width).sum(axis=1), float(seen.sum())
-        return {"E": np.asarray(seen, dtype=np.float64)[:, None], "U": total, "Wc": total, "bc": total, "Wo": by_class[:, None, None], "bo": by_class[:, None]}
+        of_class, total = np.add.reduceat(seen, self.edges[:-1])[self.class_of].astype(np.float64), float(seen.sum())
+        return {"E": np.asarray(seen, dtype=np.float64)[:, None], "U": total, "Wc": total, "bc": total, "Wo": of_class[:, None], "bo": of_class}
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """log10 of the probability of each document's numbers, which end with `end`; the state begins as after an end."""
-        count = np.array([len(d) for d in docs])
+        count = np.array([len(d) for d in docs], dtype=np.int64)
         order = np.argsort(-count, kind="stable")
         flat = np.concatenate([docs[i] for i in order]) if docs else np.zeros(0, dtype=np.int64)
         count = count[order]
         first = np.cumsum(count) - count
         live = np.searchsorted(-count, -np.arange(int(count[0]) if len(count) else 0), side="left")
-        start = self.step(self.p["E"][[end]], np.zeros((1, self.hidden), dtype=np.float32))[0]
-        h = np.repeat(start, len(docs), axis=0)
+        h = np.repeat(self.first(end), len(docs), axis=1)
+        inputs = np.ascontiguousarray(self.p["E"].T)
         out = np.zeros(len(docs))
         for t in range(0, len(live), STEPS):
             states, lanes, nexts = [], [], []
             for s in range(t, min(t + STEPS, len(live))):
                 a = live[s]
+                if a < h.shape[1]:
+                    h = h[:, :a].copy()
                 word = flat[first[:a] + s]
-                states.append(h[:a].copy())
+                states.append(h.T)
                 lanes.append(np.arange(a))
                 nexts.append(word)
-                h[:a] = self.step(self.p["E"][word], h[:a])[0]
+                h = self.step(inputs[:, word], h)[0]
             out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts)), minlength=len(docs))
         result = np.empty(len(docs))
         result[order] = out / np.log(10)
@@ -282,7 +321,7 @@ def learn(model: GatedModel, train: DataFrame, tokens: int, as_numbers: Callable
         def run(batches, state=state):
             rows = (r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
             for shard, of_shard in groupby(rows, lambda r: r[0]):
-                own = GatedModel(model.size)
+                own = GatedModel(model.size, edges=model.edges)
                 own.p, sums = ({name: state[f"{name}{c}"].copy() for name in model.p} for c in ("", "2"))
                 seen = own.train((as_numbers(t or b"") for _, t in of_shard), sums, lanes, end)
                 shares = own.shares(seen)
@@ -337,9 +376,9 @@ def score(docs: DataFrame) -> DataFrame:
     n_unk, v_unk = N - sum(n for _, n in own), V - sum(n > 0 for _, n in own)
     number = {t: k + 1 for k, (t, _) in enumerate(top)}
     end = 1
-    model = GatedModel(size)
     sizes = np.zeros(size)
     sizes[0], sizes[1 : len(own) + 1] = n_unk, [n for _, n in own]
+    model = GatedModel(size, edges=edges_of(sizes))
     model.start(sizes)
     inside = {t: k + 1 for k, (t, _) in enumerate(own)}
     learn(model, train, N, lambda t: np.array([*(inside.get(w, 0) for w in t.lower().split()), end], dtype=np.int64), end)
@@ -380,7 +419,7 @@ def score(docs: DataFrame) -> DataFrame:
         return out
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, raw=True).drop("text")
+    partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, raw=True, rows=TEXTS).drop("text")
     # a row of its own for each document, whose token has a space and the key in it, so that it meets none
     own_row = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("key").cast("string")).alias("token"), F.lit(0).cast("long").alias("n"))
     each = partial.select("doc_id", "key", "n_tokens", "known", "base", "model", F.posexplode(F.concat(F.array(own_row), "rare")).alias("at", "rare"))
