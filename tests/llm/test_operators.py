@@ -153,6 +153,28 @@ def test_sharding_keeps_groups(spark):
         shards.setdefault(r["text_crc32"], set()).add(r["shard"])
     small = {zlib.crc32(f"text {k}".encode()) for k in range(80)}
     assert sum(len(shards[c]) > 1 for c in small) <= 8
+    assert len(shards[zlib.crc32(b"hot")]) <= 6
+
+
+@pytest.mark.parametrize("hot", (2_000, 4))
+def test_label_propagation_cuts_few_edges(spark, monkeypatch, hot):
+    """Groups of 2 to 40 and as many rows without links: no edge is cut, counts are even, and the first labels cut most."""
+    from pyspark.sql import functions as F
+
+    from tracewell.llm.common import stored
+
+    monkeypatch.setattr(sharding, "HOT", hot)
+    rows = [(k, f"g{g}") for g in range(60) for k in range(g * 40, g * 40 + 2 + g % 39)]
+    rows += [(10_000 + k, None) for k in range(len(rows))]
+    nodes = stored(spark.createDataFrame(rows, "id long, grp string").withColumn("h", F.xxhash64("id")).repartition(3))
+    out = sharding.label_propagation(nodes)
+    assert out.count() == len(rows)
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert len(counts) == 8 and max(counts) - min(counts) <= 1
+    edges = sum((2 + g % 39) * (1 + g % 39) // 2 for g in range(60))
+    assert tuple(sharding.cut_edges(out).first()) == (edges, 0)
+    first = sharding.cut_edges(nodes.withColumn("shard", F.pmod("h", F.lit(8)))).first()
+    assert first["cut"] > edges / 2
 
 
 def test_language_model(docs, none):

@@ -34,7 +34,8 @@ SEED = 7
 FLUSH = 400_000
 #: Texts and bytes of texts that are scored side by side at most.
 TEXTS, PORTION = 2_500, 10_000_000
-STEPS = 64
+#: States whose next words are priced at once.
+STATES = 8_192
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -248,18 +249,19 @@ class GatedModel:
         h = np.repeat(self.first(end), len(docs), axis=1)
         inputs = np.ascontiguousarray(self.p["E"].T)
         out = np.zeros(len(docs))
-        for t in range(0, len(live), STEPS):
-            states, lanes, nexts = [], [], []
-            for s in range(t, min(t + STEPS, len(live))):
-                a = live[s]
-                if a < h.shape[1]:
-                    h = h[:, :a].copy()
-                word = flat[first[:a] + s]
-                states.append(h.T)
-                lanes.append(np.arange(a))
-                nexts.append(word)
-                h = self.step(inputs[:, word], h)[0]
-            out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts)), minlength=len(docs))
+        states, lanes, nexts, held = [], [], [], 0
+        for t, a in enumerate(live):
+            if a < h.shape[1]:
+                h = h[:, :a].copy()
+            word = flat[first[:a] + t]
+            states.append(h.T)
+            lanes.append(np.arange(a))
+            nexts.append(word)
+            held += a
+            if held >= STATES or t + 1 == len(live):
+                out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts)), minlength=len(docs))
+                states, lanes, nexts, held = [], [], [], 0
+            h = self.step(inputs[:, word], h)[0]
         result = np.empty(len(docs))
         result[order] = out / np.log(10)
         return result
