@@ -34,7 +34,7 @@ def none(spark):
 def clash(df):
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("mine") for c in ("spans", "score", "size", "n_words", "items", "media_bytes", "taken", "node")})
+    return df.withColumns({c: F.lit("mine") for c in ("spans", "score", "size", "n_words", "items", "media_bytes", "taken", "node", "last", "_size", "_source", "h", "_id", "_starts", "_key", "_k", "_p", "key", "starts", "grp", "part", "label", "bucket", "c0", "c1", "n_", "token", "bands")})
 
 
 def test_pii(docs, none):
@@ -334,7 +334,9 @@ def test_large_family_gives_few_pairs(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
-def test_substrings(docs, none):
+@pytest.mark.parametrize("segments", (5_000, 1))
+def test_substrings(docs, none, monkeypatch, segments):
+    monkeypatch.setattr(substrings, "SEGMENTS", segments)
     rows = substrings.remove_repeats(clash(docs)).collect()
     assert len(rows) == len(ROWS)
     least = {}
@@ -377,15 +379,29 @@ def test_flac_round_trip(partitions, general):
         flac.decode([bytes(bad)])
 
 
-def test_decontamination(spark, docs, none):
-    bench = spark.createDataFrame([(1, PASSAGE[:120]), (1, PASSAGE[:120]), (2, "one"), (3, None), (None, "tail end"), (4, "no such words here")], "item_id long, text string")
+@pytest.mark.parametrize(("windows", "hot"), [(100_000, 2_000), (0, 2_000), (0, 3)])
+def test_decontamination(spark, docs, none, monkeypatch, windows, hot):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", windows)
+    monkeypatch.setattr(decontaminate, "HOT", hot)
+    items = [(1, PASSAGE[:120]), (1, PASSAGE[:120]), (2, "one"), (3, None), (None, "tail end"), (4, "no such words here"), (5, "W1"), (6, "w1 " * 20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.decontaminate(clash(docs), bench).collect()
     assert len(rows) == len(ROWS)
-    by = {}
+    cut = set()
+    for i, t in items:
+        w = [x for x in re.split(decontaminate.BETWEEN, (t or "").lower()) if x]
+        cut |= {(i, tuple(w[k : k + 13])) for k in range(max(1, len(w) - 12)) if w}
     for r in rows:
-        by.setdefault(r["doc_id"], r)
-    assert by[3]["items"] == ["2"] and by[3]["contaminated"] and by[4]["items"] == ["1"] and by[4]["n_hit"] >= 13
-    assert by[0]["n_words"] == 0 and not by[0]["contaminated"]
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")
+        w = [x for x in re.split(decontaminate.BETWEEN, low) if x]
+        hit, there = set(), set()
+        for i, x in cut:
+            for k in range(len(w) - len(x) + 1):
+                if tuple(w[k : k + len(x)]) == x:
+                    hit |= set(range(k, k + len(x)))
+                    there |= {str(i)} if i is not None else set()
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(there))
+        assert r["contaminated"] == (bool(hit) and 20 * len(hit) >= len(w)) and r["spans"] == "mine"
     assert decontaminate.decontaminate(none, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -24,8 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; one of our own only where that is unset."""
+    """The cluster's spark.checkpoint.dir; one of our own only where that is unset and driver and executors are one process."""
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tracewell-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -60,6 +63,13 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, *without: str) -> tuple[DataFrame, dict[str, str]]:
+    """df without some columns, under names c0, c1 and so on that meet none of an operator's own, and these names by the old ones."""
+    names = [c for c in df.columns if c not in without]
+    to = {c: f"c{k}" for k, c in enumerate(names)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in to.items()]), to
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case and nothing else; the fast path is for texts of ASCII only."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

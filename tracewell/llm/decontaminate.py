@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored, table
+from .common import dropped, lower_ascii, numbered, stored, table
 
 #: Fixed by the contract: what lies between words, words in a window, the share of hit words (1 in so many).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,6 +19,8 @@ WINDOW = 13
 SHARE = 20
 #: Windows that are broadcast at most, about 300 bytes each; more are joined by a shuffle on the prefix word.
 BROADCAST_WINDOWS = 100_000
+#: In that shuffle, words that hold more than one in so many places are spread over several tasks.
+HOT = 2_000
 
 
 def pieces(text: Column) -> Column:
@@ -51,8 +53,30 @@ def with_prefix(cut: DataFrame, docs: DataFrame) -> DataFrame:
     rare = placed.join(F.broadcast(counted) if small else counted, "word", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "place"))).alias("by_rarity"))
     first, second = F.element_at("by_rarity", 1), F.element_at("by_rarity", F.least(F.lit(2), F.size("by_rarity")))
     rare = rare.where(first["n"] > 0)  # a window of which a word is in no document occurs in none
-    rare = rare.select("id", first["word"].alias("prefix"), first["place"].alias("place"), second["word"].alias("second"), second["place"].alias("second_place"))
-    return each.join(rare, "id").drop("id")
+    rare = rare.select("id", first["n"].alias("seen"), first["word"].alias("prefix"), first["place"].alias("place"), second["word"].alias("second"), second["place"].alias("second_place"))
+    out = stored(each.join(rare, "id").drop("id"))
+    dropped(each)
+    return out
+
+
+def met_by_shuffle(rows: DataFrame, cut: DataFrame, text: DataFrame) -> DataFrame:
+    """(_id, _key, start, words, items) of windows that occur: places of document words meet the windows of their prefix word.
+
+    Only places travel; the few candidates then go to the texts, which decide. Prefix words that hold more than one in HOT of
+    all places, of which there are fewer than that, are broadcast with a number of salts, by which their places are spread.
+    """
+    seen = cut.groupBy("prefix").agg(F.max("seen").alias("seen"))
+    limit = max(1, (seen.agg(F.sum("seen")).first()[0] or 0) // HOT)
+    hot = F.broadcast(seen.where(F.col("seen") > limit).select("prefix", F.ceil(F.col("seen") / limit).cast("int").alias("salts")))
+    last = F.coalesce("salts", F.lit(1)) - 1
+    here = rows.join(hot, "prefix", "left").withColumn("salt", F.pmod(F.xxhash64("_id", "_key", "_at"), last + 1).cast("int"))
+    there = cut.join(hot, "prefix", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+    start = F.col("_at") - F.col("place")
+    near = here.join(there, ["prefix", "salt"]).where((start >= 0) & (start + F.size("words") <= F.col("_n")))
+    near = near.groupBy("_id", "_key").agg(F.collect_list(F.struct(start.alias("start"), "words", "items")).alias("c"))
+    near = near.select(F.col("_id").alias("i"), F.col("_key").alias("k"), "c")
+    met = text.join(near, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_key") == F.col("k"))).select("_id", "_key", "_p", F.inline("c"))
+    return met.where(F.slice("_p", F.col("start") + 1, F.size("words")) == F.col("words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -62,7 +86,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     are replaced. A null text has no words, an item without words no window. Items without id count for n_hit only.
     Rows repeat in the result as in docs; an empty benchmark hits nothing.
     """
-    cut = stored(with_prefix(windows(benchmark, window), docs))
+    own, to = numbered(docs, "n_words", "n_hit", "n_items", "items", "contaminated")
+    docs = own.select("*", F.col(to["doc_id"]).alias("doc_id"), F.col(to["text"]).alias("text"))
+    cut = with_prefix(windows(benchmark, window), docs)
     n = cut.count()
     text = docs.select(F.col("doc_id").alias("_id"), F.md5("text").alias("_key"), pieces(F.col("text")).alias("_p"))
     rows = text.select("_id", "_key", "_p", F.posexplode("_p").alias("_at", "prefix"))
@@ -73,17 +99,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         met = met.where(F.get("_p", start + F.col("second_place")) == F.col("second"))
         met = met.where(F.slice("_p", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words"))
     else:
-        low = F.greatest(F.col("_at") - (window - 1), F.lit(0))
-        near = rows.select("_id", "_key", "prefix", "_at", low.alias("_low"), F.slice("_p", low + 1, 2 * window - 1).alias("_p"))
-        met = near.join(cut, "prefix").where((start >= F.col("_low")) & (F.slice("_p", F.greatest(start - F.col("_low"), F.lit(0)) + 1, F.size("words")) == F.col("words")))
+        met = met_by_shuffle(rows.select("_id", "_key", "prefix", "_at", F.size("_p").alias("_n")), cut, text)
+        start = F.col("start")
     met = met.select("_id", "_key", start.alias("start"), F.size("words").alias("long"), "items")
     hit = met.groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "long")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["long"] - 1))))
     hit = hit.select("_id", "_key", F.size(covered).cast("long").alias("n_hit"), "items")
-    base = docs.drop("n_words", "n_hit", "n_items", "items", "contaminated").withColumns({"_p": pieces(F.col("text")), "_k": F.md5("text")}).withColumn("n_words", n_pieces(F.col("_p"))).drop("_p")
-    out = base.join(hit, base["doc_id"].eqNullSafe(hit["_id"]) & (base["_k"] == hit["_key"]), "left").drop("_k", "_id", "_key")
+    base = docs.withColumns({"_p": pieces(F.col("text")), "_k": F.md5("text")}).withColumn("n_words", n_pieces(F.col("_p")))
+    out = base.join(hit, base["doc_id"].eqNullSafe(hit["_id"]) & (base["_k"] == hit["_key"]), "left")
     hits, items = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
-    return out.withColumns({"n_hit": hits, "items": items, "n_items": F.size(items).cast("long"), "contaminated": (hits > 0) & (SHARE * hits >= F.col("n_words"))})
+    new = {"n_hit": hits, "items": items, "n_items": F.size(items).cast("long"), "contaminated": (hits > 0) & (SHARE * hits >= F.col("n_words"))}
+    return out.select(*[F.col(n).alias(c) for c, n in to.items()], "n_words", *[x.alias(c) for c, x in new.items()])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, stored, table
+from .common import SPACE, dropped, numbered, stored, table
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -74,7 +74,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     first = sources.groupBy("_p").count().withColumn("_first", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.col("_first") + F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int"))
-    sources = stored(sources.join(F.broadcast(first), "_p").select("source", "source_size", weight.alias("weight")))  # a row for each partition
+    unweighed, sources = sources, stored(sources.join(F.broadcast(first), "_p").select("source", "source_size", weight.alias("weight")))  # a row for each partition
+    dropped(unweighed)
     cap = F.col("source_size") * float(most)
     level = 0.0
     while True:
@@ -113,7 +114,9 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST)
     inside = rows.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l")) & (F.col("b") == F.col("eb")))
     nth = inside.withColumn("r", F.row_number().over(Window.partitionBy("source", "size", "b").orderBy("h"))).where("r = k").select("s", "l", F.col("h").alias("last"))
     out = fitted.join(nth, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("l")), "left")
-    return stored(out.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "copies", "last"))
+    done = stored(out.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target", "copies", "last"))
+    dropped(fitted)
+    return done
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -132,9 +135,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST, s
     Columns of docs with these names are replaced. A null text has no words; documents without words are taken 0 times.
     Null is a source of its own. Rows that are the same in doc_id and text share a hash: both give one more, or none.
     """
-    docs = docs.drop("size", "h", "source_size", "target", "copies", "taken")
-    fitted = plan(stored(sized(docs, seed).select("source", "size", "h")), weights, most)
-    return mixed(sized(docs, seed), fitted).drop("h")
+    own, to = numbered(docs, "size", "source_size", "target", "copies", "taken")
+    rows = own.select("*", *[F.col(to[c]).alias(c) for c in ("doc_id", "text", "source")])
+    weighed = sized(rows, seed)
+    counts = stored(weighed.select("source", "size", "h"))
+    fitted = plan(counts, weights, most)
+    dropped(counts)
+    return mixed(weighed, fitted).select(*[F.col(n).alias(c) for c, n in to.items()], "size", "source_size", "target", "copies", "taken")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import appended, dropped, stored, table
+from .common import appended, dropped, numbered, stored, table
 from .neardup import PLACES, WordHashes, mixed
 
 WINDOW, RUN = 13, 5
@@ -207,8 +207,9 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     """
     fields = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text
     spans = repeated(docs.select("doc_id", "text")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("starts").alias("_starts"))
-    base = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    base = base.join(spans, (F.coalesce(base["doc_id"], F.lit(LAST)) == F.col("_id")) & (F.xxhash64(base["text"]) == F.col("_key")), "left").drop("_id", "_key")
+    base, to = numbered(docs, "n_words", "n_removed", "kept_sha256", "kept_text")
+    own_id, own_text = F.col(to["doc_id"]), F.col(to["text"])
+    base = base.join(spans, (F.coalesce(own_id, F.lit(LAST)) == F.col("_id")) & (F.xxhash64(own_text) == F.col("_key")), "left").drop("_id", "_key")
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
     def run(batches):
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            at = b.schema.get_field_index("text")
+            at = b.schema.get_field_index(to["text"])
             for t, s in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(b.schema.get_field_index("_starts")), strict=True):
                 words, removed = (t or b"").split(), 0
                 n = len(words)
@@ -236,7 +237,8 @@ def remove_repeats(docs: DataFrame, text: bool = True) -> DataFrame:
                 arrays.append(pa.array(out[3], type=pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *(a.cast(to_arrow_type(f.dataType)) for a, f in zip(arrays, new, strict=True))], names=[*names, *new.names])
 
-    return base.mapInArrow(run, T.StructType([*(f for f in base.schema if f.name != "_starts"), *new.fields]))
+    out = base.mapInArrow(run, T.StructType([*(f for f in base.schema if f.name != "_starts"), *new.fields]))
+    return out.select(*[F.col(n).alias(c) for c, n in to.items()], *new.names)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
