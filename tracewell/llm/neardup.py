@@ -12,8 +12,6 @@ with a margin, then by their whole sets.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,6 +154,18 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, comp) after further links (a, b): only those between different components are followed."""
+    one, two = comp.select(F.col("node").alias("a"), F.col("comp").alias("c")), comp.select(F.col("node").alias("b"), F.col("comp").alias("d"))
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("c", "a").alias("a"), F.coalesce("d", "b").alias("b"))
+    further = components(between.where(F.col("a") != F.col("b")))
+    alone = further.join(comp.select("node"), "node", "left_anti").select("node", F.col("node").alias("comp"))
+    to = further.select(F.col("node").alias("_of"), F.col("comp").alias("_to"))
+    out = stored(comp.select("node", "comp").union(alone).join(to, F.col("comp") == F.col("_of"), "left").select("node", F.coalesce("_to", "comp").alias("comp")))
+    dropped(further)
+    return out
+
+
 def compared(pairs: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) with both sets, their sizes, the size of their intersection and whether they are linked."""
     one, two = full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
@@ -193,7 +203,7 @@ def families(large: DataFrame, mass: DataFrame, full: DataFrame, similarity: int
     have and fewest others, so that the sets differ little from it in all.
     """
     centre = large.groupBy("key").agg(F.min("node").alias("b"))
-    named = components(large.join(centre, "key").select(F.col("node").alias("a"), "b").distinct())
+    named = components(large.join(centre, "key").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b"))
     family = stored(named.join(mass, "node").select("node", "comp", "n", "mass"))
     dropped(named)
     sizes = family.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
@@ -272,15 +282,16 @@ def component_frame(firsts: DataFrame, docs: DataFrame, similarity: int) -> Data
     weighed = live.join(sigs.select("node", "weight"), "node")
     star = weighed.groupBy("key").agg(heaviest).select("key", F.col("r.node").alias("rep"))
     met = live.join(star, "key").where(F.col("node") != F.col("rep"))
-    links = [judged(met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())]
-    comp = components(links[0])
+    links = judged(met.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct())
+    comp = components(links)
+    dropped(links)
     keyed = live
     for k in range(ROUNDS + 1):
         now = stored(split(keyed.select("key", "node"), comp))
         dropped(keyed)
         large = now.where(F.col("size") > SMALL).select("key", "node")
-        pairs, after = crossing(now.where(F.col("size") <= SMALL)), None
-        gone = [now]
+        pairs, after, of_hubs = crossing(now.where(F.col("size") <= SMALL)), None, None
+        gone = [now, comp]
         if not large.isEmpty():
             mass = shared_enough(large, full, similarity)
             again = stored(split(large.join(mass.select("node"), "node"), comp))
@@ -291,19 +302,19 @@ def component_frame(firsts: DataFrame, docs: DataFrame, similarity: int) -> Data
                 pairs = pairs.union(crossing(wide))
             elif not wide.isEmpty():
                 hubs = families(wide.select("key", "node"), mass, full, similarity)
-                links.append(stored(hubs.where("linked").select("a", "b")))
+                of_hubs = hubs.where("linked").select("a", "b")
                 lacking = inside(hubs, similarity)
                 after = stored(outside(hubs))
                 pairs = pairs.union(lacking)
                 gone += [hubs, lacking]
-        links.append(judged(pairs.distinct()))
-        for old in (*gone, comp):
+        links = judged(pairs.distinct())
+        comp = merged(comp, links if of_hubs is None else links.union(of_hubs))
+        for old in (*gone, links):
             dropped(old)
-        comp = components(reduce(DataFrame.union, links))
         if after is None:
             break
         keyed = after
-    for old in (*links, sigs, full):
+    for old in (sigs, full):
         dropped(old)
     return comp
 
