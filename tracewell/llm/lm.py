@@ -11,8 +11,10 @@ window.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterable
-from itertools import groupby
+from itertools import compress, groupby, repeat
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,10 @@ SEED = 7
 FLUSH = 400_000
 #: Texts and bytes of texts that are scored side by side at most.
 TEXTS, PORTION = 2_500, 10_000_000
+#: Logits up to which exp is far from the ends of 32-bit floats.
+SAFE = 60.0
+#: Added where a probability's own factor may have made it 0.
+TINY = 1e-37
 #: States whose next words are priced at once.
 STATES = 8_192
 
@@ -53,6 +59,13 @@ def edges_of(counts: np.ndarray) -> np.ndarray:
     return np.unique([0, *(np.searchsorted(sums, sums[-1] * k / parts) + 1 for k in range(1, parts)), len(counts)])
 
 
+def exponentials(a: np.ndarray, bound: float) -> np.ndarray:
+    """exp of each row of a, in place, up to a factor of the row's own; bound is at least every |a|: where exp can't overflow, the factor is 1."""
+    if bound > SAFE:
+        a -= a.max(axis=1, keepdims=True)
+    return np.exp(a, out=a)
+
+
 class GatedModel:
     """Words have numbers; those from edges[c] to edges[c + 1] are a class, frequent words being in small classes.
 
@@ -95,21 +108,26 @@ class GatedModel:
         edges = self.edges
         return order, [(int(edges[c]), int(edges[c + 1]), int(i), int(j)) for c, i, j in zip(there, at, [*at[1:], len(order)], strict=True) if edges[c + 1] - edges[c] > 1]
 
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def bounds(self) -> tuple[float, float]:
+        """What the logits of classes and of words can be at most, states being in -1 to 1."""
+        p = self.p
+        return tuple(float((np.abs(w).sum(axis=axis) + np.abs(b)).max()) for w, b, axis in ((p["Wc"], p["bc"], 0), (p["Wo"], p["bo"], 1)))
+
+    def log_probs(self, h: np.ndarray, y: np.ndarray, bounds: tuple[float, float] | None = None) -> np.ndarray:
         """Natural log of the probability of each next word after each state; h is (words, features)."""
+        of_class, of_word = bounds or self.bounds()
         a = h @ self.p["Wc"]
         a += self.p["bc"]
-        a -= a.max(axis=1, keepdims=True)
-        out = a[np.arange(len(y)), self.class_of[y]]
-        out -= np.log(np.exp(a, out=a).sum(axis=1))
+        a = exponentials(a, of_class)
+        out = np.log(a[np.arange(len(y)), self.class_of[y]] + TINY) - np.log(a.sum(axis=1))
         order, spans = self.by_class(y)
         hi, word = h[order], y[order]
         own = np.zeros(len(y), dtype=out.dtype)
         for first, last, i, j in spans:
             b = hi[i:j] @ self.p["Wo"][first:last].T
             b += self.p["bo"][first:last]
-            b -= b.max(axis=1, keepdims=True)
-            own[i:j] = b[np.arange(j - i), word[i:j] - first] - np.log(np.exp(b, out=b).sum(axis=1))
+            b = exponentials(b, of_word)
+            own[i:j] = np.log(b[np.arange(j - i), word[i:j] - first] + TINY) - np.log(b.sum(axis=1))
         out[order] += own
         return out
 
@@ -134,8 +152,8 @@ class GatedModel:
         own = (np.arange(len(ys)), self.class_of[ys])
         a = hs @ p["Wc"]
         a += p["bc"]
-        a -= a.max(axis=1, keepdims=True)
-        np.exp(a, out=a)
+        of_class, of_word = self.bounds()
+        a = exponentials(a, of_class)
         sums = a.sum(axis=1)
         loss = -float(np.log(a[own] / sums + 1e-12)[on].sum())
         share = (on / count).astype(a.dtype)
@@ -152,8 +170,7 @@ class GatedModel:
             w = p["Wo"][first:last]
             b = hi[i:j] @ w.T
             b += p["bo"][first:last]
-            b -= b.max(axis=1, keepdims=True)
-            np.exp(b, out=b)
+            b = exponentials(b, of_word)
             sums, at = b.sum(axis=1), (np.arange(j - i), word[i:j] - first)
             loss -= float(np.log(b[at] / sums + 1e-12).sum())
             b *= (1 / (sums * count))[:, None]
@@ -249,7 +266,7 @@ class GatedModel:
         h = np.repeat(self.first(end), len(docs), axis=1)
         inputs = np.ascontiguousarray(self.p["E"].T)
         out = np.zeros(len(docs))
-        states, lanes, nexts, held = [], [], [], 0
+        states, lanes, nexts, held, bounds = [], [], [], 0, self.bounds()
         for t, a in enumerate(live):
             if a < h.shape[1]:
                 h = h[:, :a].copy()
@@ -259,7 +276,7 @@ class GatedModel:
             nexts.append(word)
             held += a
             if held >= STATES or t + 1 == len(live):
-                out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts)), minlength=len(docs))
+                out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts), bounds), minlength=len(docs))
                 states, lanes, nexts, held = [], [], [], 0
             h = self.step(inputs[:, word], h)[0]
         result = np.empty(len(docs))
@@ -275,8 +292,6 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """token and count over whole texts, ends included; counted in part before the shuffle."""
 
     def run(batches):
-        from collections import Counter
-
         seen: Counter = Counter()
 
         def flushed():
@@ -383,7 +398,7 @@ def score(docs: DataFrame) -> DataFrame:
     model = GatedModel(size, edges=edges_of(sizes))
     model.start(sizes)
     inside = {t: k + 1 for k, (t, _) in enumerate(own)}
-    learn(model, train, N, lambda t: np.array([*(inside.get(w, 0) for w in t.lower().split()), end], dtype=np.int64), end)
+    learn(model, train, N, lambda t: np.array([*map(inside.get, t.lower().split(), repeat(0)), end], dtype=np.int64), end)
 
     log_base = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (N + V + 1))
     log_unk = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (n_unk + v_unk + 1))
@@ -391,34 +406,33 @@ def score(docs: DataFrame) -> DataFrame:
     known = np.array([False, *(n > 0 for _, n in top)])
 
     def work(texts):
-        out = ([], [], [], [], [])
+        out = ([], [], [], [])
+        beyond, often, ends = [], [], [0]  # words beyond those of `number`, flat, and where each text's end
         some, held = [], 0
         for t in [*texts, None]:
             if len(out[0]) + len(some) < len(texts):
                 some.append(t or b"")
                 held += len(t or b"")
             if some and (held >= PORTION or len(out[0]) + len(some) == len(texts)):
-                ids, rare = [], []
+                ids = []
                 for x in some:
                     w = x.lower().split()
-                    k = list(map(number.get, w, [0] * len(w)))
+                    k = list(map(number.get, w, repeat(0)))
                     ids.append(np.array([*k, end], dtype=np.int64))
-                    beyond: dict[bytes, int] = {}
-                    if 0 in k:
-                        for word, own_number in zip(w, k, strict=True):
-                            if not own_number:
-                                beyond[word] = beyond.get(word, 0) + 1
-                    rare.append([{"token": word.decode(), "n": n} for word, n in beyond.items()])
+                    rare = Counter(compress(w, map(not_, k)))
+                    beyond += rare.keys()
+                    often += rare.values()
+                    ends.append(len(beyond))
                 scores = model.score([np.where(i < size, i, 0) for i in ids], end)
-                for i, s, r in zip(ids, scores, rare, strict=True):
+                for i, s in zip(ids, scores, strict=True):
                     there = i[i > 0]
                     out[0].append(len(i))
                     out[1].append(int(known[there].sum()))
                     out[2].append(float(log_base[there].sum()))
                     out[3].append(float(s + log_unk[there].sum()))
-                    out[4].append(r)
                 some, held = [], 0
-        return out
+        tokens = pa.array(beyond, type=pa.binary()).cast(pa.string())
+        return *out, pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays([tokens, pa.array(often, type=pa.int64())], names=["token", "n"]))
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, raw=True, rows=TEXTS).drop("text")
