@@ -185,6 +185,22 @@ def test_language_model(docs, none):
     assert lm.score(none).count() == 0
 
 
+@pytest.mark.parametrize("frequent", (131_072, 40))
+def test_base_scores_equal_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    rng = random.Random(9)
+    rows = [(k, None if k % 13 == 5 else " ".join(rng.choice(("W%d", "w%d", "é%d")) % int(rng.paretovariate(0.6)) for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    tokens = {k: [*words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for k, t in rows}
+    trains = {k: zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows}
+    counts = Counter(w for k, ws in tokens.items() if trains[k] for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (not trains[r["doc_id"]], len(own), n)
+        assert r["n_known"] == sum(counts[w] > 0 for w in own)
+        assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in own))
+
+
 def test_language_model_learns_from_all_training_tokens(spark):
     n = 210_000  # characters, far beyond any prefix; both corpora have the same counts and the same beginning
     head, tails = "x " * 1_500, ("a b " * (n // 4), "a a b b " * (n // 8))
