@@ -55,7 +55,7 @@ STAGES = [
     ("shards", to_shards),
 ]
 
-#: Language identification can't be stated in SQL; the stages are tested against brute force.
+#: Language identification can't be stated in SQL. Tests hold near-duplicates and decontamination against brute force, mixture and shards against their bounds.
 ORACLE_SQL = None
 
 
