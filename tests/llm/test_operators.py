@@ -1,6 +1,9 @@
 """Each operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
+import json
+import math
 import random
 import re
 import zlib
@@ -89,6 +92,67 @@ def test_secrets_leave_other_words():
         assert not secrets.scan(text), text
 
 
+def naive_guesses(value, rank):
+    """The least price over all ways to cut the value into segments, each priced from what it is alone."""
+    step, low = math.log10(2), value.lower()
+    plain = low.translate(secrets.LEET)
+
+    def price(i, j):
+        part, n = value[i:j], j - i
+        prices = []
+        if found := rank.get(low[i:j]) or rank.get(plain[i:j]):
+            prices.append(math.log10(found + 1) + step * (part != low[i:j]) + step * (low[i:j] not in rank))
+        if secrets.DATE.fullmatch(part):
+            prices.append(4.6 if n > 4 else 2.1)
+        if n >= 3 and len(set(part)) == 1:
+            prices.append(math.log10(secrets.pool(part[0]) * n))
+        if n >= 3 and all(low[k : k + 2] in secrets.WALKS for k in range(i, j - 1)):
+            prices.append(math.log10(47 * n * 4))
+        prices += [sum(math.log10(secrets.pool(c)) for c in part[:b]) + math.log10(n // b) for b in (2, 3, 4) if n % b == 0 and n // b >= 3 and part == part[:b] * (n // b)]
+        found = min(prices, default=math.inf) + (step if i else 0)
+        return min(found, math.log10(secrets.pool(part))) if n == 1 else found
+
+    if not value:
+        return 0.0
+    cuts = itertools.product((False, True), repeat=len(value) - 1)
+    ends = ([0, *(k for k, cut in enumerate(c, 1) if cut), len(value)] for c in cuts)
+    return min(sum(price(i, j) for i, j in itertools.pairwise(e)) for e in ends)
+
+
+def test_guesses_equal_all_segmentations():
+    rng = random.Random(6)
+    rank = {"pass": 1, "word": 2, "password": 3, "ss": 4, "sword": 5, "one": 9}
+    pieces = ["pass", "p@55", "Word", "aaa", "qwe", "1999", "3112", "abab", "99", "x", "7#", "onE", "Q"]
+    for value in ["", "password", "aaaaaa", "abababab", "19991231", *("".join(rng.choice(pieces) for _ in range(4))[:12] for _ in range(40))]:
+        assert secrets.guesses(value, rank) == pytest.approx(naive_guesses(value, rank)), value
+
+
+def test_vocabulary_prices_plain_words(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"model": {"vocab": {"qu</w>": 1, "correct</w>": 2, "horse": 3, "required</w>": 4, "password</w>": 5}}}))
+    rank = secrets.ranks(str(tmp_path / "v.json"))
+    assert list(rank)[:2] == ["password", "123456"] and len(rank) == len(set(secrets.COMMON)) + 2 and "horse" not in rank
+    docs = spark.createDataFrame([(1, "password: required"), (2, "password: kvxwqzjm")], "doc_id long, text string")
+    found = {r["doc_id"]: len(r["spans"]) for r in secrets.find_secrets(docs, vocabulary=str(tmp_path / "v.json")).collect()}
+    assert found == {1: 0, 2: 1}
+
+
+def test_viterbi_equals_all_paths():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        count = rng.integers(0, 6, 4)
+        scores = rng.integers(-6, 1, (5, 3)).astype(np.float32) * 1.37 - rng.random((5, 3), dtype=np.float32)
+        code = rng.integers(0, 5, int(count.sum()))
+        first = np.cumsum(count) - count
+        got = langid.viterbi(scores, code, first, count, 2.5)
+
+        def worth(path, words):
+            return sum(float(scores[w, k]) for w, k in zip(words, path, strict=True)) - 2.5 * sum(a != b for a, b in itertools.pairwise(path))
+
+        for f, c in zip(first, count, strict=True):
+            words = code[f : f + c]
+            assert worth(got[f : f + c], words) == pytest.approx(max(worth(p, words) for p in itertools.product(range(3), repeat=int(c))), abs=1e-4)
+
+
 def test_language(docs, none):
     rng = random.Random(4)
     sets = {"en": ["the", "with", "which", "house", "think"], "de": ["der", "nicht", "zwischen", "haus", "über"], "ru": ["это", "который", "дом"]}
