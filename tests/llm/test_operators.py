@@ -197,6 +197,29 @@ def test_subset_sum_equals_brute_force():
         assert sum(n * t for n, t in zip(lengths, took, strict=True)) == max(s for s in sums if s <= budget)
 
 
+@pytest.mark.parametrize("window", [1, 8, 10_000])
+def test_fit_comes_nearest(window):
+    rng = random.Random(8)
+    for _ in range(200):
+        lengths = np.array(rng.sample(range(1, 40), 4)) * rng.choice((1, 3))
+        counts = np.array([rng.randint(1, 4) for _ in lengths])
+        budget = rng.randint(0, int((lengths * counts).sum()) - 1)
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        took = mixing.fit(lengths, counts, budget, window)
+        assert (took >= 0).all() and (took <= counts).all()
+        assert int((took * lengths).sum()) == max(s for s in sums if s <= budget)
+
+
+def test_fit_of_many_lengths():
+    rng = np.random.default_rng(9)
+    lengths, counts = np.arange(1, 20_001), rng.integers(1, 2_000, 20_000)
+    budget = int((lengths * counts).sum()) // 3
+    took = mixing.fit(lengths, counts, budget)
+    assert (took <= counts).all() and int((took * lengths).sum()) == budget
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(clash(docs)).collect()
     assert len(rows) == len(ROWS)

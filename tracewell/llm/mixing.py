@@ -20,8 +20,8 @@ from .common import SPACE, dropped, numbered, stored, table
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = 17
-#: Words that are left to the dynamic program, beside one document's length; items that it uses at most.
-BUDGET, ITEMS = 65_536, 2_048
+#: Words of the rest budget, beside one document's length, that the dynamic program has at first, and to which it grows where it misses.
+BUDGET, WIDEST = 65_536, 1 << 22
 
 
 def n_words(text: Column) -> Column:
@@ -29,40 +29,66 @@ def n_words(text: Column) -> Column:
     return (F.size(p) - (F.element_at(p, 1) == "").cast("int") - ((F.size(p) > 1) & (F.element_at(p, -1) == "")).cast("int")).cast("long")
 
 
-def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int, items: int = ITEMS) -> list[int]:
-    """How many of each length to take, within counts, so that the sum comes as near to the budget from below as the items used allow."""
-    taken, reach, steps = [0] * len(lengths), 1, []
-    mask = (1 << (budget + 1)) - 1
+def subset_sum(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
+    """How many of each length to take, within counts, so that the sum is the nearest to the budget from below.
+
+    Counts are split into powers of two; for each sum, the first of these items that reached it is kept, and the items
+    before it reach what it leaves.
+    """
+    taken, items = [0] * len(lengths), []
+    reach = np.zeros(budget + 1, dtype=bool)
+    item_of = np.zeros(budget + 1, dtype=np.int32)
+    reach[0], most = True, 0
     for k, (length, count) in enumerate(zip(lengths, counts, strict=True)):
         some, count = 1, min(count, budget // length) if length else 0
-        while count > 0 and len(steps) < items and not reach >> budget & 1:
+        while count > 0 and not reach[budget]:
             some = min(some, count)
-            steps.append((k, some, reach))
-            reach |= reach << (length * some) & mask
+            by = length * some
+            new = by + np.flatnonzero(reach[: budget - by + 1] & ~reach[by:])
+            reach[new], item_of[new] = True, len(items)
+            most = max(most, int(new[-1])) if len(new) else most
+            items.append((k, some))
             count, some = count - some, some * 2
-    at = reach.bit_length() - 1
-    for k, some, before in reversed(steps):
-        if not before >> at & 1:
-            taken[k] += some
-            at -= lengths[k] * some
+    at = most
+    while at:
+        k, some = items[item_of[at]]
+        taken[k] += some
+        at -= lengths[k] * some
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents of each length (distinct, above 0) to take once, for a sum near the budget, which is below that of all."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = BUDGET, widest: int = WIDEST) -> np.ndarray:
+    """Documents of each length (distinct, above 0) to take once, for a sum that is nearest to the budget from below; it is below that of all.
+
+    Each length first gives its even share, and the longest more of it until `window` words are left to the dynamic
+    program. Where that misses the budget, the shares give words back and the window grows fourfold, until the budget is
+    met or the window is all of it; beyond `widest` the nearest sum of that window stays.
+    """
+    unit = int(np.gcd.reduce(lengths)) if len(lengths) else 1
+    lengths, budget = lengths // unit, budget // unit
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), dtype=np.int64)
-    give = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
-    left = budget - int((give * lengths).sum())
-    for k in np.argsort(-lengths, kind="stable"):
-        more = min(int(counts[k] - give[k]), max(0, left - BUDGET) // int(lengths[k]))
-        give[k], left = give[k] + more, left - more * int(lengths[k])
-    order = [k for k in np.argsort(lengths, kind="stable")[::-1] if lengths[k] <= left and counts[k] > give[k]]
-    extra = subset_sum([int(lengths[k]) for k in order], [int(counts[k] - give[k]) for k in order], left)
-    for k, x in zip(order, extra, strict=True):
-        give[k] += x
-    return give
+    share = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
+    best, got, first = share, -1, window
+    while True:
+        give, left = share.copy(), budget - int((share * lengths).sum())
+        by_length = np.argsort(-lengths, kind="stable")
+        for k in by_length:
+            if left > window:
+                more = min(int(counts[k] - give[k]), (left - window) // int(lengths[k]))
+            else:
+                more = -min(int(give[k]), (window - left) // int(lengths[k])) if window > first else 0
+            give[k], left = give[k] + more, left - more * int(lengths[k])
+        order = [k for k in by_length if lengths[k] <= left and counts[k] > give[k]]
+        extra = subset_sum([int(lengths[k]) for k in order], [int(counts[k] - give[k]) for k in order], left)
+        for k, x in zip(order, extra, strict=True):
+            give[k] += x
+        if (met := int((give * lengths).sum())) > got:
+            best, got = give, met
+        if got == budget or first < window >= min(budget, widest):
+            return best
+        window *= 4
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
