@@ -110,10 +110,10 @@ def empty_like(df: DataFrame, schema: str | T.StructType) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False, rows: int | None = None, keep: bool = True) -> DataFrame:
+def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool = False, arrow: bool = False, rows: int | None = None, keep: bool = True) -> DataFrame:
     """df with further columns that work() gives for a batch of texts: lists or Arrow arrays in the order of `fields`, a DDL string.
 
-    work runs in Arrow batches on the executors, over whole texts (None for null; raw: as UTF-8 bytes); columns of df with the new names are
+    work runs in Arrow batches on the executors, over whole texts (None for null; raw: as UTF-8 bytes; arrow: an Arrow array of strings instead of a list); columns of df with the new names are
     replaced. A batch is as large as spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch let it be;
     with `rows`, work gets so many texts of it at a time, which bounds what a worker holds as Python objects.
     keep=False leaves the texts out of the result, so that they needn't travel back.
@@ -130,7 +130,7 @@ def appended(df: DataFrame, fields: str, work, column: str = "text", raw: bool =
     def run(batches):
         for b in (whole.slice(k, rows) for whole in batches for k in range(0, whole.num_rows, rows)) if rows else batches:
             texts = b.column(b.schema.get_field_index(column))
-            given = work((texts.cast(pa.binary()) if raw else texts).to_pylist())
+            given = work(texts.cast(pa.string()) if arrow else (texts.cast(pa.binary()) if raw else texts).to_pylist())
             arrays = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(given, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in names), *arrays], names=[*names, *new.names])
 

@@ -11,13 +11,12 @@ window.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterable
-from itertools import compress, groupby, repeat
-from operator import not_
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +32,8 @@ LANES, MOST_LANES, STRETCH, WINDOW, ENOUGH, EPOCHS, RATE = 32, 1024, 512, 16, 1_
 #: Rounds of a pass, each over its own documents and followed by an average; roots of training tokens for each shard; numbers in a row of weights.
 ROUNDS, ROOTS, SLICE = 3, 240, 8_192
 SEED = 7
-FLUSH = 400_000
+#: Words that are counted at once, from which their counts go to the shuffle.
+FLUSH = 4_000_000
 #: Texts and bytes of texts that are scored side by side at most.
 TEXTS, PORTION = 2_500, 10_000_000
 #: Logits up to which exp is far from the ends of 32-bit floats.
@@ -42,14 +42,19 @@ SAFE = 60.0
 TINY = 1e-37
 #: States whose next words are priced at once.
 STATES = 8_192
+#: States whose gradients of classes are found at once, in what the cache holds.
+PIECE = 4_096
+#: Rows of a word beyond which they are summed at once, not side by side with those of other words.
+SINGLY = 16
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.clip(x, -30, 30)
-    np.negative(out, out=out)
-    np.exp(out, out=out)
-    out += 1
-    return np.reciprocal(out, out=out)
+    """1 / (1 + exp(-x)), in place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def edges_of(counts: np.ndarray) -> np.ndarray:
@@ -60,16 +65,42 @@ def edges_of(counts: np.ndarray) -> np.ndarray:
 
 
 def exponentials(a: np.ndarray, bound: float) -> np.ndarray:
-    """exp of each row of a, in place, up to a factor of the row's own; bound is at least every |a|: where exp can't overflow, the factor is 1."""
+    """exp of each column of a, in place, up to a factor of the column's own; bound is at least every |a|: where exp can't overflow, the factor is 1."""
     if bound > SAFE:
-        a -= a.max(axis=1, keepdims=True)
+        a -= a.max(axis=0)
     return np.exp(a, out=a)
 
 
+def sorted_by(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of numbers up to `most`, and the places in it where each distinct one begins."""
+    order = np.argsort(values.astype(np.uint16) if most < 65_536 else values, kind="stable")
+    found = values[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(1, len(found)), dtype=bool), found[1:] != found[:-1]]))
+
+
+def sums_by_word(v: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, ascending, and for each the sum of its rows of v."""
+    order, first = sorted_by(words, int(words.max(initial=0)))
+    rows, v, count = words[order[first]], v.take(order, axis=0), np.diff(first, append=len(order))
+    by = np.argsort(-count, kind="stable")
+    first, count, out = first[by], count[by], np.empty((len(rows), v.shape[1]), dtype=v.dtype)
+    many = int(np.searchsorted(-count, -SINGLY, side="left"))
+    one = np.ones(len(order), dtype=v.dtype)
+    for w, i, n in zip(by[:many].tolist(), first[:many].tolist(), count[:many].tolist(), strict=True):
+        np.matmul(one[:n], v[i : i + n], out=out[w])
+    first, count, total = first[many:], count[many:], v.take(first[many:], axis=0)
+    for k in range(1, int(count[0]) if len(count) else 0):
+        more = int(np.searchsorted(-count, -k, side="left"))
+        total[:more] += v.take(first[:more] + k, axis=0)
+    out[by[many:]] = total
+    return rows, out
+
+
 class GatedModel:
     """Words have numbers; those from edges[c] to edges[c + 1] are a class, frequent words being in small classes.
 
-    States and inputs of steps are (features, lanes), so that gates lie side by side in memory.
+    States and inputs of steps are (features, lanes), so that gates lie side by side in memory; logits are (words, states).
+    The last row of Wc and the last column of Wo are biases.
     """
 
     def __init__(self, size: int, seed: int = SEED, hidden: int = HIDDEN, edges: np.ndarray | None = None):
@@ -79,22 +110,27 @@ class GatedModel:
         self.classes = len(self.edges) - 1
         self.class_of = np.repeat(np.arange(self.classes), np.diff(self.edges))
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": f(hidden, self.classes), "bc": f(self.classes) * 0, "Wo": f(size, hidden), "bo": f(size) * 0}
+        self.p = {"E": f(size, 3 * hidden), "U": f(hidden, 3 * hidden), "Wc": np.concatenate([f(hidden, self.classes), f(1, self.classes) * 0]), "Wo": np.concatenate([f(size, hidden), f(size, 1) * 0], axis=1)}
 
     def start(self, counts: np.ndarray) -> None:
         """Output biases by counts of the vocabulary."""
         logs = np.log(counts + 1.0)
         total = np.logaddexp.reduceat(logs, self.edges[:-1])
-        self.p["bo"] = (logs - total[self.class_of]).astype(np.float32)
-        self.p["bc"] = (total - total.max()).astype(np.float32)
+        self.p["Wo"][:, -1] = logs - total[self.class_of]
+        self.p["Wc"][-1] = total - total.max()
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
         n = self.hidden
         g = self.p["U"].T @ h
         gates = sigmoid(x[: 2 * n] + g[: 2 * n])
         z, r = gates[:n], gates[n:]
-        c = np.tanh(x[2 * n :] + r * g[2 * n :])
-        return c + z * (h - c), z, r, c, g[2 * n :]
+        c = r * g[2 * n :]
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
+        return after, z, r, c, g[2 * n :]
 
     def first(self, end: int) -> np.ndarray:
         """The state after an end, (features, 1)."""
@@ -103,105 +139,111 @@ class GatedModel:
     def by_class(self, ys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """An order of ys by class, and for each class of several words that is there: its first and last word, and first and last place in the order."""
         cls = self.class_of[ys]
-        order = np.argsort(cls.astype(np.uint16) if self.classes < 65_536 else cls, kind="stable")
-        there, at = np.unique(cls[order], return_index=True)
-        edges = self.edges
+        order, at = sorted_by(cls, self.classes)
+        there, edges = cls[order[at]], self.edges
         return order, [(int(edges[c]), int(edges[c + 1]), int(i), int(j)) for c, i, j in zip(there, at, [*at[1:], len(order)], strict=True) if edges[c + 1] - edges[c] > 1]
 
     def bounds(self) -> tuple[float, float]:
         """What the logits of classes and of words can be at most, states being in -1 to 1."""
-        p = self.p
-        return tuple(float((np.abs(w).sum(axis=axis) + np.abs(b)).max()) for w, b, axis in ((p["Wc"], p["bc"], 0), (p["Wo"], p["bo"], 1)))
+        return tuple(float(np.abs(w).sum(axis=axis).max()) for w, axis in ((self.p["Wc"], 0), (self.p["Wo"], 1)))
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, bounds: tuple[float, float] | None = None) -> np.ndarray:
         """Natural log of the probability of each next word after each state; h is (words, features)."""
-        of_class, of_word = bounds or self.bounds()
-        a = h @ self.p["Wc"]
-        a += self.p["bc"]
-        a = exponentials(a, of_class)
-        out = np.log(a[np.arange(len(y)), self.class_of[y]] + TINY) - np.log(a.sum(axis=1))
+        return self.priced(np.concatenate([h.T, np.ones((1, len(h)), dtype=h.dtype)]), y, bounds or self.bounds())
+
+    def priced(self, h: np.ndarray, y: np.ndarray, bounds: tuple[float, float]) -> np.ndarray:
+        """As log_probs(); h is (features, words), with a row of ones below."""
+        of_class, of_word = bounds
         order, spans = self.by_class(y)
-        hi, word = h[order], y[order]
-        own = np.zeros(len(y), dtype=out.dtype)
+        hi, word = h.take(order, axis=1), y[order]
+        cls, at = self.class_of[word], np.arange(len(y))
+        a = exponentials(self.p["Wc"].T @ hi, of_class)
+        own, sums = a[cls, at], a.sum(axis=0)
+        local, own_word, sums_word = word - self.edges[cls], np.ones_like(own), np.ones_like(sums)
         for first, last, i, j in spans:
-            b = hi[i:j] @ self.p["Wo"][first:last].T
-            b += self.p["bo"][first:last]
-            b = exponentials(b, of_word)
-            own[i:j] = np.log(b[np.arange(j - i), word[i:j] - first] + TINY) - np.log(b.sum(axis=1))
-        out[order] += own
+            b = exponentials(self.p["Wo"][first:last] @ hi[:, i:j], of_word)
+            own_word[i:j] = b[local[i:j], at[: j - i]]
+            b.sum(axis=0, out=sums_word[i:j])
+        out = np.empty_like(own)
+        out[order] = np.log(own + TINY) - np.log(sums) + np.log(own_word + TINY) - np.log(sums_word)
         return out
 
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, bounds: tuple[float, float] | None = None) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss of one window (steps, lanes), each with the rows it has (None for all); y < 0 is not counted.
 
         Also the state after the window and the loss. h is (features, lanes).
         """
         p, n = self.p, self.hidden
         steps, kept = len(x), []
-        inputs = np.ascontiguousarray(p["E"][x].transpose(0, 2, 1))
-        states = np.empty((steps, n, x.shape[1]), dtype=inputs.dtype)
+        inputs = np.ascontiguousarray(p["E"].take(x, axis=0).transpose(0, 2, 1))
+        states = np.ones((n + 1, *x.shape), dtype=inputs.dtype)
         for t in range(steps):
             before = h
             h, z, r, c, g = self.step(inputs[t], h)
             kept.append((before, z, r, c, g))
-            states[t] = h
-        hs, ys = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, n), y.ravel()
-        on = ys >= 0
-        count = max(1, int(on.sum()))
-        ys = np.maximum(ys, 0)
-        own = (np.arange(len(ys)), self.class_of[ys])
-        a = hs @ p["Wc"]
-        a += p["bc"]
-        of_class, of_word = self.bounds()
-        a = exponentials(a, of_class)
-        sums = a.sum(axis=1)
-        loss = -float(np.log(a[own] / sums + 1e-12)[on].sum())
-        share = (on / count).astype(a.dtype)
-        a *= (share / sums)[:, None]
-        a[own] -= share
-        d = {"Wc": (None, hs.T @ a), "bc": (None, a.sum(axis=0))}
-        dh_out = a @ p["Wc"].T
-        places = np.flatnonzero(on)
-        order, spans = self.by_class(ys[places])
-        order = places[order]
-        hi, word = hs[order], ys[order]
-        dh_own, wo, bo = np.zeros_like(hi), [], []
+            states[:n, t] = h
+        ys = y.ravel()
+        on = np.flatnonzero(ys >= 0)
+        count = max(1, len(on))
+        order, spans = self.by_class(ys[on])
+        order = on[order]
+        hi, word = states.reshape(n + 1, -1).take(order, axis=1), ys[order]
+        cls, at = self.class_of[word], np.arange(len(word))
+        of_class, of_word = bounds or self.bounds()
+        loss, d, dh_own = 0.0, {"Wc": (None, np.zeros_like(p["Wc"]))}, np.empty((n, len(word)), dtype=hi.dtype)
+        for i in range(0, len(word), PIECE):
+            s = hi[:, i : i + PIECE]
+            a = exponentials(p["Wc"].T @ s, of_class)
+            place, total = (cls[i : i + PIECE], at[: a.shape[1]]), a.sum(axis=0)
+            loss -= float(np.log(a[place] / total + 1e-12).sum())
+            a *= 1 / (total * count)
+            a[place] -= 1 / count
+            np.add(d["Wc"][1], s @ a.T, out=d["Wc"][1])
+            np.matmul(p["Wc"][:n], a, out=dh_own[:, i : i + PIECE])
+        local, own, sums, wo = word - self.edges[cls], np.ones(len(word), dtype=hi.dtype), np.ones(len(word), dtype=hi.dtype), []
         for first, last, i, j in spans:
-            w = p["Wo"][first:last]
-            b = hi[i:j] @ w.T
-            b += p["bo"][first:last]
-            b = exponentials(b, of_word)
-            sums, at = b.sum(axis=1), (np.arange(j - i), word[i:j] - first)
-            loss -= float(np.log(b[at] / sums + 1e-12).sum())
-            b *= (1 / (sums * count))[:, None]
-            b[at] -= 1 / count
-            wo.append(b.T @ hi[i:j])
-            bo.append(b.sum(axis=0))
-            np.matmul(b, w, out=dh_own[i:j])
+            w, s = p["Wo"][first:last], hi[:, i:j]
+            b = exponentials(w @ s, of_word)
+            place = (local[i:j], at[: j - i])
+            own[i:j] = b[place]
+            total = b.sum(axis=0, out=sums[i:j])
+            b *= 1 / (total * count)
+            b[place] -= 1 / count
+            wo.append(b @ s.T)
+            dh_own[:, i:j] += w[:, :n].T @ b
+        loss -= float(np.log(own / sums + 1e-12).sum())
         if spans:
-            rows = np.concatenate([np.arange(first, last) for first, last, _, _ in spans])
-            d |= {"Wo": (rows, np.concatenate(wo)), "bo": (rows, np.concatenate(bo))}
-        dh_out[order] += dh_own
-        dh_out = np.ascontiguousarray(dh_out.reshape(steps, -1, n).transpose(0, 2, 1))
+            d["Wo"] = (np.concatenate([np.arange(first, last) for first, last, _, _ in spans]), np.concatenate(wo))
+        back = np.full(len(ys), len(order))
+        back[order] = at
+        dh_out = np.concatenate([dh_own, np.zeros((n, 1), dtype=dh_own.dtype)], axis=1).take(back, axis=1).reshape(n, *x.shape)
         dh, du = np.zeros_like(h), np.zeros_like(p["U"])
         dxs = np.empty(inputs.shape, inputs.dtype)
         for t in reversed(range(steps)):
             before, z, r, c, g = kept[t]
-            dh = dh + dh_out[t]
+            dh += dh_out[:, t]
             dx = dxs[t]
             dz, dr, dc = dx[:n], dx[n : 2 * n], dx[2 * n :]
-            np.multiply(dh * (1 - z), 1 - c * c, out=dc)
-            np.multiply(dh * (before - c), z * (1 - z), out=dz)
-            np.multiply(dc * g, r * (1 - r), out=dr)
+            keep = dh * z
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            np.subtract(before, c, out=dz)
+            dz *= keep
+            np.subtract(dh, keep, out=dh)
+            dc *= dh
+            np.subtract(1, z, out=z)
+            dz *= z
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= g
+            dr *= dc
             dg = dx.copy()
             dg[2 * n :] *= r
             du += before @ dg.T
-            dh = dh * z + p["U"] @ dg
-        xs = x.ravel()
-        order = np.argsort(xs.astype(np.uint16) if self.size <= 65_536 else xs, kind="stable")
-        rows, first = np.unique(xs[order], return_index=True)
-        flat = np.ascontiguousarray(dxs.transpose(0, 2, 1)).reshape(len(xs), -1)
-        d |= {"U": (None, du), "E": (rows, np.add.reduceat(flat[order], first))}
+            dh = p["U"] @ dg
+            dh += keep
+        flat = np.ascontiguousarray(dxs.transpose(0, 2, 1)).reshape(len(ys), -1)
+        d |= {"U": (None, du), "E": sums_by_word(flat, x.ravel())}
         return d, h, loss / count
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
@@ -217,22 +259,30 @@ class GatedModel:
 
         The documents follow each other in blocks, whose equal parts are the lanes; `square` is the sum of squares so far.
         """
-        seen, before = np.zeros(self.size, dtype=np.int64), end
+        seen, before, bounds = np.zeros(self.size, dtype=np.int64), end, self.bounds()
 
         def block(flat: np.ndarray, before: int) -> None:
+            nonlocal bounds
             most = -(-len(flat) // lanes)
             y = np.full(most * lanes, -1, dtype=np.int64)
             y[: len(flat)] = flat
             x = np.concatenate([[before], np.maximum(y[:-1], 0)]).reshape(lanes, most).T
             y, h = y.reshape(lanes, most).T, np.zeros((self.hidden, lanes), dtype=np.float32)
             for t in range(0, most, WINDOW):
-                d, h, _ = self.window(x[t : t + WINDOW], y[t : t + WINDOW], h)
+                if max(bounds) > SAFE:
+                    bounds = self.bounds()
+                d, h, _ = self.window(x[t : t + WINDOW], y[t : t + WINDOW], h, bounds)
+                bounds = tuple(b + (self.hidden + 1) * RATE for b in bounds)  # no weight moves further in a step
                 for k, (rows, g) in d.items():
                     at = ... if rows is None else rows
                     np.clip(g, -1, 1, out=g)
-                    q = square[k][at] + g * g
+                    q = g * g
+                    q += square[k][at]
                     square[k][at] = q
-                    self.p[k][at] -= RATE * g / np.sqrt(q)
+                    np.sqrt(q, out=q)
+                    g *= RATE
+                    g /= q
+                    self.p[k][at] -= g
             np.add(seen, np.bincount(flat, minlength=self.size), out=seen)
 
         held, n = [], 0
@@ -253,7 +303,7 @@ class GatedModel:
     def shares(self, seen: np.ndarray) -> dict[str, np.ndarray | float]:
         """What a shard's weights count in an average, by how often it learned each word."""
         of_class, total = np.add.reduceat(seen, self.edges[:-1])[self.class_of].astype(np.float64), float(seen.sum())
-        return {"E": np.asarray(seen, dtype=np.float64)[:, None], "U": total, "Wc": total, "bc": total, "Wo": of_class[:, None], "bo": of_class}
+        return {"E": np.asarray(seen, dtype=np.float64)[:, None], "U": total, "Wc": total, "Wo": of_class[:, None]}
 
     def score(self, docs: list[np.ndarray], end: int) -> np.ndarray:
         """log10 of the probability of each document's numbers, which end with `end`; the state begins as after an end."""
@@ -263,22 +313,25 @@ class GatedModel:
         count = count[order]
         first = np.cumsum(count) - count
         live = np.searchsorted(-count, -np.arange(int(count[0]) if len(count) else 0), side="left")
+        ends = np.cumsum(live)
+        lane = np.arange(len(flat)) - np.repeat(ends - live, live)
+        flat = flat[first[lane] + np.repeat(np.arange(len(live)), live)]  # step by step
         h = np.repeat(self.first(end), len(docs), axis=1)
-        inputs = np.ascontiguousarray(self.p["E"].T)
+        inputs, bounds = np.ascontiguousarray(self.p["E"].T), self.bounds()
         out = np.zeros(len(docs))
-        states, lanes, nexts, held, bounds = [], [], [], 0, self.bounds()
-        for t, a in enumerate(live):
-            if a < h.shape[1]:
-                h = h[:, :a].copy()
-            word = flat[first[:a] + t]
-            states.append(h.T)
-            lanes.append(np.arange(a))
-            nexts.append(word)
-            held += a
-            if held >= STATES or t + 1 == len(live):
-                out += np.bincount(np.concatenate(lanes), weights=self.log_probs(np.concatenate(states), np.concatenate(nexts), bounds), minlength=len(docs))
-                states, lanes, nexts, held = [], [], [], 0
-            h = self.step(inputs[:, word], h)[0]
+        t, done = 0, 0
+        while t < len(live):
+            word = flat[done : ends[min(np.searchsorted(ends, done + STATES), len(ends) - 1)]]
+            x, states, i = inputs.take(word, axis=1), np.ones((self.hidden + 1, len(word)), dtype=h.dtype), 0
+            while i < len(word):
+                a = int(live[t])
+                if a < h.shape[1]:
+                    h = h[:, :a].copy()
+                states[:-1, i : i + a] = h
+                h = self.step(x[:, i : i + a], h)[0]
+                t, i = t + 1, i + a
+            out += np.bincount(lane[done : done + i], weights=self.priced(states, word, bounds), minlength=len(docs))
+            done += i
         result = np.empty(len(docs))
         result[order] = out / np.log(10)
         return result
@@ -288,23 +341,43 @@ def trains() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2, F.lit(True))
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (null: none), A-Z in lower case, and the number of each word's text."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, text = pieces.flatten(), np.repeat(np.arange(len(texts)), pieces.value_lengths().to_numpy())
+    there = pc.binary_length(words).to_numpy() > 0
+    return (words, text) if there.all() else (words.filter(pa.array(there)), text[there])
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of an array of texts, in order: at most TEXTS texts and, but for one more text, PORTION bytes each."""
+    texts = texts.cast(pa.string())
+    held = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // PORTION
+    starts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(texts)]
+    for i, j in zip(starts, starts[1:], strict=False):
+        for k in range(i, j, TEXTS):
+            yield texts.slice(k, min(j - k, TEXTS))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """token and count over whole texts, ends included; counted in part before the shuffle."""
 
     def run(batches):
-        seen: Counter = Counter()
+        held, n, texts = [], 0, 0
 
         def flushed():
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()).cast(pa.string()), pa.array(list(seen.values()), type=pa.int64())], names=["token", "n"])
-            seen.clear()
+            found = pc.value_counts(pa.chunked_array([*held, pa.array([END], pa.string())]))
+            token, count = found.field("values"), found.field("counts").to_numpy() + (texts - 1) * pc.equal(found.field("values"), END).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([token, pa.array(count, type=pa.int64())], names=["token", "n"])
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                seen.update((t or b"").lower().split())
-                seen[END.encode()] += 1
-                if len(seen) >= FLUSH:
+            for part in portions(b.column(0)):
+                held.append(words_of(part)[0])
+                n, texts = n + len(held[-1]), texts + len(part)
+                if n >= FLUSH:
                     yield from flushed()
-        if seen:
+                    held, n, texts = [], 0, 0
+        if texts:
             yield from flushed()
 
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -315,12 +388,20 @@ def vocabulary(tokens: int) -> int:
     return min(FREQUENT, max(VOCABULARY, math.isqrt(tokens)))
 
 
-def learn(model: GatedModel, train: DataFrame, tokens: int, as_numbers: Callable[[bytes], np.ndarray], end: int) -> int:
+def numbers_of(words: pa.Array, text: np.ndarray, texts: int, vocabulary: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of so many texts, flat, from 1 by the vocabulary (0: not in it), an end after each text; and how many each text has."""
+    ids = pc.index_in(words, value_set=vocabulary).fill_null(-1).to_numpy() + np.int64(1)
+    flat = np.full(len(ids) + texts, end, dtype=np.int64)
+    flat[np.arange(len(ids)) + text] = ids
+    return flat, np.bincount(text, minlength=texts) + 1
+
+
+def learn(model: GatedModel, train: DataFrame, tokens: int, as_numbers: Callable[[bytes], np.ndarray] | pa.Array, end: int) -> int:
     """Trains the model on all tokens of all rows of train and gives how many it learned from in a pass.
 
     Rows are dealt to rounds and shards by their hash, so that the weights depend on neither partitions nor cores. Each shard
     of a round goes on from the round's weights; their changes are averaged, weighted by what the shard learned of a word
-    (E), of a class (Wo, bo) or in all. What is summed is a model a shard, of which there are as many as the root of the
+    (E), of a class (Wo) or in all. `as_numbers` gives a text's numbers or is the vocabulary, from number 1 on. What is summed is a model a shard, of which there are as many as the root of the
     tokens asks for.
     """
     square = {k: np.full_like(v, 1e-6) for k, v in model.p.items()}
@@ -336,11 +417,19 @@ def learn(model: GatedModel, train: DataFrame, tokens: int, as_numbers: Callable
         state = {f"{name}{c}": v for c, x in (("", model.p), ("2", square)) for name, v in x.items()}
 
         def run(batches, state=state):
-            rows = (r for b in batches for r in zip(b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True))
+            def numbered(texts):
+                for part in portions(texts):
+                    if callable(as_numbers):
+                        yield from (as_numbers(t or b"") for t in part.cast(pa.binary()).to_pylist())
+                    else:
+                        flat, count = numbers_of(*words_of(part), len(part), as_numbers, end)
+                        yield from np.split(flat, np.cumsum(count)[:-1])
+
+            rows = (r for b in batches for r in zip(b.column(1).to_pylist(), numbered(b.column(2)), strict=True))
             for shard, of_shard in groupby(rows, lambda r: r[0]):
                 own = GatedModel(model.size, edges=model.edges)
                 own.p, sums = ({name: state[f"{name}{c}"].copy() for name in model.p} for c in ("", "2"))
-                seen = own.train((as_numbers(t or b"") for _, t in of_shard), sums, lanes, end)
+                seen = own.train((numbers for _, numbers in of_shard), sums, lanes, end)
                 shares = own.shares(seen)
                 changes = {"seen": seen}
                 for c, x in (("", own.p), ("2", sums)):
@@ -391,51 +480,40 @@ def score(docs: DataFrame) -> DataFrame:
     size = vocabulary(N)
     own = top[: size - 1]
     n_unk, v_unk = N - sum(n for _, n in own), V - sum(n > 0 for _, n in own)
-    number = {t: k + 1 for k, (t, _) in enumerate(top)}
     end = 1
     sizes = np.zeros(size)
     sizes[0], sizes[1 : len(own) + 1] = n_unk, [n for _, n in own]
     model = GatedModel(size, edges=edges_of(sizes))
     model.start(sizes)
-    inside = {t: k + 1 for k, (t, _) in enumerate(own)}
-    learn(model, train, N, lambda t: np.array([*map(inside.get, t.lower().split(), repeat(0)), end], dtype=np.int64), end)
+    number = pa.array([t for t, _ in top], type=pa.binary()).cast(pa.string())
+    learn(model, train, N, number[: len(own)], end)
 
     log_base = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (N + V + 1))
     log_unk = np.log10((np.array([0, *(n for _, n in top)]) + 1.0) / (n_unk + v_unk + 1))
     log_unk[1:size] = 0.0  # the model has these words itself
+    log_base[0] = log_unk[0] = 0.0  # these words' counts are joined below
     known = np.array([False, *(n > 0 for _, n in top)])
 
+    def portion(texts):
+        words, text = words_of(texts)
+        flat, count = numbers_of(words, text, len(texts), number, end)
+        ends, of_text = np.cumsum(count), np.repeat(np.arange(len(texts)), count)
+        known_, base_, unk_ = (np.bincount(of_text, weights=x[flat], minlength=len(texts)) for x in (known, log_base, log_unk))
+        scores = model.score(np.split(np.where(flat < size, flat, 0), ends[:-1]), end)
+        beyond = np.delete(flat, ends - 1) == 0  # words beyond those of `number`
+        rare = words.filter(pa.array(beyond)).dictionary_encode()
+        several = max(1, len(rare.dictionary))
+        pairs, often = np.unique(text[beyond] * several + rare.indices.to_numpy(), return_counts=True)
+        ends = np.cumsum([0, *np.bincount(pairs // several, minlength=len(texts))])
+        rare = pa.StructArray.from_arrays([rare.dictionary.take(pa.array(pairs % several)), pa.array(often, type=pa.int64())], names=["token", "n"])
+        return count, known_.astype(np.int64), base_, scores + unk_, pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), rare)
+
     def work(texts):
-        out = ([], [], [], [])
-        beyond, often, ends = [], [], [0]  # words beyond those of `number`, flat, and where each text's end
-        some, held = [], 0
-        for t in [*texts, None]:
-            if len(out[0]) + len(some) < len(texts):
-                some.append(t or b"")
-                held += len(t or b"")
-            if some and (held >= PORTION or len(out[0]) + len(some) == len(texts)):
-                ids = []
-                for x in some:
-                    w = x.lower().split()
-                    k = list(map(number.get, w, repeat(0)))
-                    ids.append(np.array([*k, end], dtype=np.int64))
-                    rare = Counter(compress(w, map(not_, k)))
-                    beyond += rare.keys()
-                    often += rare.values()
-                    ends.append(len(beyond))
-                scores = model.score([np.where(i < size, i, 0) for i in ids], end)
-                for i, s in zip(ids, scores, strict=True):
-                    there = i[i > 0]
-                    out[0].append(len(i))
-                    out[1].append(int(known[there].sum()))
-                    out[2].append(float(log_base[there].sum()))
-                    out[3].append(float(s + log_unk[there].sum()))
-                some, held = [], 0
-        tokens = pa.array(beyond, type=pa.binary()).cast(pa.string())
-        return *out, pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays([tokens, pa.array(often, type=pa.int64())], names=["token", "n"]))
+        out = list(zip(*map(portion, portions(texts)), strict=True))
+        return *map(np.concatenate, out[:-1]), pa.concat_arrays(out[-1])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, raw=True, rows=TEXTS).drop("text")
+    partial = appended(keyed, "n_tokens long, known long, base double, model double, rare array<struct<token:string,n:long>>", work, arrow=True, rows=TEXTS).drop("text")
     # a row of its own for each document, whose token has a space and the key in it, so that it meets none
     own_row = F.struct(F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("key").cast("string")).alias("token"), F.lit(0).cast("long").alias("n"))
     each = partial.select("doc_id", "key", "n_tokens", "known", "base", "model", F.posexplode(F.concat(F.array(own_row), "rare")).alias("at", "rare"))
